@@ -1 +1,13 @@
-"""Spark-native recipe and nutrition analytics."""
+"""Streaming over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums per event type and window; works on a stream (with a watermark) and on a table."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    out = timed.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
