@@ -88,7 +88,8 @@ def leaks_of(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
         return F.flatten(F.transform(at, from_first))
 
     spots = saved(hits.select("doc_id", "row", F.col("n").alias("n"), starts(F.col("at"), F.col("n"), F.col("c")).alias("starts")).where(F.size("starts") > 0), "spots")
-    whole = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_row")).join(small(spots.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()), ["_id", "_row"], "left_semi")
+    asked = small(spots.select(F.col("doc_id").alias("_a"), F.col("row").alias("_b")).distinct())
+    whole = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_row")).join(asked, F.col("_id").eqNullSafe(F.col("_a")) & (F.col("_row") == F.col("_b")), "left_semi")
     whole = whole.dropDuplicates(["_id", "_row"]).select("_id", "_row", hashes(words(F.col("text")), width).alias("all"))
     opened = spots.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
     windows = opened.select("doc_id", "row", "n", "all", F.explode("starts").alias("start")).where(F.col("start") + F.col("n") <= F.size("all"))

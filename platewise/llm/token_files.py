@@ -1,6 +1,7 @@
 """Token ids in files, compressed by Re-Pair.
 
-Texts are encoded by the tokenizers library, an end id follows each, and ids are written in ascending order of doc_id
+Texts are encoded by the tokenizers library (each distinct word once in a while, for merges never cross words), an end
+id follows each, and ids are written in ascending order of doc_id
 (null first, ties by the text's hash): documents are dealt into ranges of ids, each range a shard. Within blocks of a
 shard, frequent pairs of ids are replaced, round after round, by new symbols; a block stores its rules (pairs), the
 lengths their symbols expand to, the remaining sequence and where each document starts, so that a document is decoded
@@ -19,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.llm.bpe import pieces_of
 from platewise.llm.common import new_path
 
-END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 2_000_000, 5, 2048, 24
+END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 1_000_000, 5, 2048, 24
+#: Words of which a task keeps the ids.
+ROOM = 300_000
 
 
 def replaced(ids: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +124,21 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
 
         coder = Tokenizer.from_str(shared.value)
         coder.encode_special_tokens = True
-        shard, block, names, parts, total = 0, 0, [], [], 0
+        shard, block, names, parts, total, seen = 0, 0, [], [], 0, {}
+
+        def coded(texts: list[str]) -> list[bytes]:
+            """The library's ids of texts as 32-bit integers: distinct words once, texts that cannot be cut as a whole."""
+            cut = [pieces_of(x) for x in texts]
+            if len(seen) > ROOM:
+                seen.clear()
+            new = list({x for p in cut if p for x in p[1:] if x not in seen})
+            whole = [x if p is None else p[0] for x, p in zip(texts, cut, strict=True)]
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                spaced = [x.replace("\x00", "\n") if x[:1] == "\x00" else " " + x for x in part]
+                seen.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, coder.encode_batch_fast(spaced, add_special_tokens=False), strict=True))
+            first = [np.array(coder.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in whole]
+            return [h + b"".join(map(seen.__getitem__, p[1:])) if p else h for h, p in zip(first, cut, strict=True)]
 
         def flush() -> pa.RecordBatch:
             cells = [shard], [block], [names], [[len(p) for p in parts]], [Block.packed(np.concatenate(parts))]
@@ -131,9 +149,9 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 shard = part.column(2)[0].as_py()
-                for x, e in zip(part.column(0).to_pylist(), coder.encode_batch_fast(part.column(1).to_pylist(), add_special_tokens=False), strict=True):
+                for x, ids in zip(part.column(0).to_pylist(), coded(part.column(1).to_pylist()), strict=True):
                     names.append(x)
-                    parts.append(np.array([*e.ids, end], np.int64))
+                    parts.append(np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
                     total += len(parts[-1])
                     if total >= BLOCK:
                         yield flush()
