@@ -68,7 +68,7 @@ _A = """t AS (SELECT u, i, sum(CASE WHEN s = 1 THEN w ELSE 0 END) AS p, sum(CASE
 both("pref_logodds", f"WITH {_EVENTS}, {_A} SELECT u, i, round(tanh(d / 2), 6) AS score, round(d / sqrt(v), 6) AS z FROM a")
 _B = """x AS (SELECT u, e.i, sum(s * w * f.idf) AS diff FROM e JOIN (SELECT i, ln(1 + (SELECT count(*) FROM e) / (count(*) + 1.0)) AS idf FROM e GROUP BY 1) f ON f.i = e.i GROUP BY 1, 2),
  b AS (SELECT u, i, tanh(diff / m) AS score FROM (SELECT x.u, x.i, diff, m FROM x JOIN (SELECT u, median(abs(diff)) AS m FROM x WHERE abs(diff) > 1e-12 GROUP BY 1) q ON q.u = x.u) y)"""
-both("pref_bm25", f"WITH {_EVENTS}, {_B} SELECT u, i, round(score, 5) AS score FROM b")
+both("pref_bm25", f"WITH {_EVENTS}, {_B} SELECT u, i, round(score, 5) + 0.0 AS score FROM b")
 both("pref_ensemble_topk", f"""WITH {_EVENTS}, {_A}, {_B} SELECT u, i, round(s, 5) AS score FROM (SELECT u, i, s, row_number() OVER (PARTITION BY u ORDER BY round(s, 6) DESC, i) AS r FROM
  (SELECT coalesce(a.u, b.u) AS u, coalesce(a.i, b.i) AS i, least(greatest(0.6 * coalesce(tanh(d / 2), 0) + 0.4 * coalesce(score, 0), -1), 1) AS s FROM a FULL OUTER JOIN b ON a.u = b.u AND a.i = b.i) c WHERE s > 0.05) t WHERE r <= 10""")
 both("complementarity_pairs", """WITH n AS (SELECT p_name AS i, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1),
