@@ -12,8 +12,10 @@ Null text counts as empty and gives the end id alone. Repeated rows are written
 
 from __future__ import annotations
 
-import zlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ from platewise.llm.bpe import pieces_of
 from platewise.llm.common import new_path
 
 END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 1_000_000, 5, 2048, 24
-#: Words of which a task keeps the ids.
-ROOM = 300_000
+#: Words of which a worker process keeps the ids (some 100 MB).
+ROOM = 600_000
+#: How a byte-level vocabulary writes the bytes of a space and a line feed.
+SIGNS = ("\u0120", "\u010a")
 
 
 def replaced(ids: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = LEAST, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +111,47 @@ class Block:
         return part[skip : skip + n]
 
 
+class Words:
+    """A tokenizer, and the ids of words it met: a worker process keeps one, so that tasks need not start over."""
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
+        self.coder = Tokenizer.from_str(tokenizer)
+        self.coder.encode_special_tokens = True
+        vocabulary = self.coder.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or line feed
+        self.opens[[i for t, i in vocabulary.items() if t[:1] in SIGNS]] = True
+        self.seen: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words (each a space or NUL for a line feed, then no white space), many in one text, cut where they open."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            ids = self.ids("".join([x.replace("\x00", "\n") if x[:1] == "\x00" else " " + x for x in part]))
+            raw, at = ids.tobytes(), (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+            self.seen.update((x, raw[i:j]) for x, i, j in zip(part, at, at[1:], strict=False))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of texts as 32-bit integers: distinct words once, texts that cannot be cut as a whole."""
+        if len(self.seen) > ROOM:  # frequent words tend to come first: these stay
+            self.seen = dict(islice(self.seen.items(), ROOM // 2))
+        cut = [pieces_of(x) for x in texts]
+        self.learn(list({x for p in cut if p for x in p[1:] if x not in self.seen}))
+        whole = [self.ids(x if p is None else p[0]).tobytes() for x, p in zip(texts, cut, strict=True)]
+        return [h + b"".join(map(self.seen.__getitem__, p[1:])) if p else h for h, p in zip(whole, cut, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def words_of(tokenizer: str) -> Words:
+    """This process's words."""
+    return Words(tokenizer)
+
+
 SCHEMA = "shard int, block int, doc_id array<long>, n array<long>, ids binary"
 
 
@@ -120,25 +165,8 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_str(shared.value)
-        coder.encode_special_tokens = True
-        shard, block, names, parts, total, seen = 0, 0, [], [], 0, {}
-
-        def coded(texts: list[str]) -> list[bytes]:
-            """The library's ids of texts as 32-bit integers: distinct words once, texts that cannot be cut as a whole."""
-            cut = [pieces_of(x) for x in texts]
-            if len(seen) > ROOM:
-                seen.clear()
-            new = list({x for p in cut if p for x in p[1:] if x not in seen})
-            whole = [x if p is None else p[0] for x, p in zip(texts, cut, strict=True)]
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                spaced = [x.replace("\x00", "\n") if x[:1] == "\x00" else " " + x for x in part]
-                seen.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, coder.encode_batch_fast(spaced, add_special_tokens=False), strict=True))
-            first = [np.array(coder.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in whole]
-            return [h + b"".join(map(seen.__getitem__, p[1:])) if p else h for h, p in zip(first, cut, strict=True)]
+        coded = words_of(shared.value)
+        shard, block, names, parts, total = 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             cells = [shard], [block], [names], [[len(p) for p in parts]], [Block.packed(np.concatenate(parts))]
