@@ -141,7 +141,7 @@ class Words:
         if len(self.seen) > ROOM:  # frequent words tend to come first: these stay
             self.seen = dict(islice(self.seen.items(), ROOM // 2))
         cut = [pieces_of(x) for x in texts]
-        self.learn(list({x for p in cut if p for x in p[1:] if x not in self.seen}))
+        self.learn(list(set().union(*(p[1:] for p in cut if p)).difference(self.seen)))
         whole = [self.ids(x if p is None else p[0]).tobytes() for x, p in zip(texts, cut, strict=True)]
         return [h + b"".join(map(self.seen.__getitem__, p[1:])) if p else h for h, p in zip(whole, cut, strict=True)]
 
