@@ -100,12 +100,12 @@ def grown(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, levels: int) -
 def weighed(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Bias and weights of an L1-penalised logistic model, by accelerated proximal gradient."""
     w, b = np.zeros(z.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
-    size = 4 * len(y) / (np.linalg.norm(z, 2) ** 2 + len(y))
+    size = 4 * len(y) / (np.linalg.eigvalsh((z.T @ z).astype(float))[-1] + len(y))
     u, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ u + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ u.astype(z.dtype) + c, -30, 30)))
         g = (p - y) / len(y)
-        v = u - size * (z.T @ g)
+        v = u - size * (z.T @ g.astype(z.dtype))
         v, d = np.sign(v) * np.maximum(np.abs(v) - size * penalty, 0), c - size * g.sum()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u, c, w, b, t = v + (t - 1) / s * (v - w), d + (t - 1) / s * (d - b), v, d, s
@@ -121,12 +121,16 @@ def fitted(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = TREES, l
         for path in grown(x, y - y.mean(), rng, levels):
             rules.setdefault(tuple((names[c], above, round(limit, 6)) for c, above, limit in path), None)
     at = {n: i for i, n in enumerate(names)}
-    z = np.stack([np.all([(x[:, at[n]] > limit) == above for n, above, limit in r], axis=0) for r in rules], 1).astype(float)
-    _, first = np.unique(z, axis=1, return_index=True)  # of rules that hold for the same rows, one
-    first = np.sort(first[(z[:, first].mean(0) > 0.002) & (z[:, first].mean(0) < 0.998)])
-    if not len(first):
+    first, held = {}, []
+    for i, rule in enumerate(rules):
+        holds = np.all([(x[:, at[n]] > limit) == above for n, above, limit in rule], axis=0)
+        # of rules that hold for the same rows, one
+        if 0.002 < holds.mean() < 0.998 and first.setdefault(np.packbits(holds).tobytes(), i) == i:
+            held.append(holds)
+    first = list(first.values())
+    if not first:
         return fitted(names, x, y[:0])
-    bias, weights = weighed(z[:, first], y, penalty)
+    bias, weights = weighed(np.array(held, np.float32).T, y, penalty)
     kept = list(rules)
     return Ensemble(bias, [Rule(kept[i], float(w)) for i, w in zip(first, weights, strict=True) if abs(w) > 1e-6])
 
