@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.text import jaccard, tokens
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = 0.6, cap: int = 200) -> DataFrame:
-    """For each left row the right row with the largest word Jaccard, by an inverted index of words (cap rows a word)."""
+def fuzzy_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = 0.6) -> DataFrame:
+    """For each left row the right row with the largest word Jaccard, by an inverted index of words; no match is left out."""
     a = left.select(left_key, tokens(F.col(left_text)).alias("_a"))
     b = right.select(right_key, tokens(F.col(right_text)).alias("_b"))
-    postings = b.select(right_key, "_b", F.explode("_b").alias("_t")).withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy(right_key))).where(F.col("_r") <= cap)
+    postings = b.select(right_key, "_b", F.explode("_b").alias("_t"))
     met = a.select(left_key, "_a", F.explode("_a").alias("_t")).join(postings, "_t").dropDuplicates([left_key, right_key])
     score = met.select(left_key, right_key, jaccard(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") >= least)
     return score.groupBy(left_key).agg(F.max_by(right_key, F.struct("score", -F.col(right_key))).alias(right_key), F.max("score").alias("score"))

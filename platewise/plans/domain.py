@@ -62,7 +62,7 @@ SELECT p_partkey, min(k) AS target, round(max(s), 6) AS score FROM (SELECT *, ma
 def fuzzy_match_blocked(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     foods = part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("target"))
-    return joins.fuzzy_best(part, foods, "p_partkey", "p_name", "target", "p_name", cap=100_000).withColumn("score", F.round("score", 6))
+    return joins.fuzzy_best(part, foods, "p_partkey", "p_name", "target", "p_name").withColumn("score", F.round("score", 6))
 
 
 @query("levenshtein_alias", "WITH n AS (SELECT DISTINCT p_name AS w FROM part) SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INT) AS d FROM n a JOIN n b ON a.w < b.w AND left(a.w, 1) = left(b.w, 1) AND levenshtein(a.w, b.w) <= 5")
