@@ -3,9 +3,13 @@
 A text is its words (A-Z lower-cased) joined by spaces and an end. Each byte is eight binary decisions; for each
 decision, Krichevsky-Trofimov estimates of all context depths (0 to DEPTH bytes) are mixed by the context-tree weights
 of the training data: half for the node as a leaf, half for its children. Trees depend on counts alone, so training is
-one distributed count of byte sequences; a context is opened if it has one in SHARE of the training bytes at least (so
-a depth has SHARE contexts at most, which bounds the model that is broadcast), and what its unopened children saw is
-pooled in one leaf. The result is a table of log probabilities by context and byte, and the code length of a text a
+one distributed count of byte sequences. A context is opened if training has it OPEN times, at every size of the
+corpus; what its unopened children saw is pooled in one leaf.
+
+The tree is never in one place. Sequences are dealt by the last LOW bytes of their contexts, so that a context meets
+all longer ones in one task: a first pass weighs these subtrees up to their roots, the driver weighs the 257 contexts
+above them (a constant size), a second pass mixes down and gives the log probability of each sequence. Texts are in
+groups of some GROUP bytes; a group is joined with its distinct sequences alone, and the code length of a text is a
 sum over its bytes.
 
 The base is a smoothed unigram model of whole words. The counts of a bounded number of frequent words are broadcast,
@@ -22,13 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import count_floor, held_out, saved
 
-DEPTH, SHARE, FREQUENT = 5, 50_000, 1 << 18
+DEPTH, OPEN, FREQUENT = 5, 2, 1 << 18
 END, CHUNK = 10, 4_000_000
+#: Bytes of text that are scored together; distinct sequences that are weighed in one task.
+GROUP, PART = 16_000_000, 1_000_000
+LOW = 2
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,46 +64,77 @@ def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64))]
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """Counts in the texts: (kind 0, hash of a word), (kind 1, DEPTH + 1 bytes in a row), (kind 2, 0) for texts."""
+def sequences(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The DEPTH + 1 bytes that end at each place, the last byte lowest."""
+    key = raw[at - DEPTH].astype(np.int64)
+    for k in range(DEPTH - 1, -1, -1):
+        key = key << 8 | raw[at - k]
+    return key
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, held_out) with their group: of texts of one task in a row, of some GROUP bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            size = int(sizes[-1]) if len(sizes) else size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + sizes // GROUP)], ["doc_id", "text", "held_out", "group"])
+
+    return saved(docs.mapInArrow(run, "doc_id long, text string, held_out boolean, group long"), "texts")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Counts in the texts that are not held out: (kind 0, hash of a word), (kind 2, 0) for texts; by group, of all texts,
+    (kind 1, DEPTH + 1 bytes in a row), with a count of 0 for those that only held-out texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         held: list[list] = [[], []]
-        words, size, texts = [], 0, 0
+        words: list[list] = [[], []]
+        group, size, texts = None, 0, 0
+
+        def rows(kind: int, of: int) -> Iterator[pa.RecordBatch]:
+            keys, counts = summed(held[kind])[0] if held[kind] else ([], [])
+            held[kind] = []
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "group": pa.array(np.full(len(part), of)), "key": pa.array(part), "n": pa.array(counts[i : i + 100_000])})
 
         def settle() -> None:
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in words for w in x), np.uint64)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in words[0] for w in x), np.uint64)
             held[0].append(np.unique(hashes, return_counts=True))
-            raw, starts = stream(words)
-            at, key = coded(raw, starts), 0
-            for k in range(DEPTH, -1, -1):
-                key = key * 256 + raw[at - k].astype(np.uint64) if k < DEPTH else raw[at - k].astype(np.uint64)
-            held[1].append(np.unique(key, return_counts=True))
+            for out in range(2):
+                if words[out]:
+                    raw, starts = stream(words[out])
+                    keys, counts = np.unique(sequences(raw, coded(raw, starts)), return_counts=True)
+                    held[1].append((keys, counts * (1 - out)))
+                words[out] = []
             for k in range(2):
                 if len(held[k]) >= 4:
                     held[k] = summed(held[k])
 
         for batch in batches:
-            for x in batch.column(0):
-                words.append(tokens(x.as_py()))
-                size += sum(map(len, words[-1])) + 1
-                texts += 1
-                if size > CHUNK:
+            for x, out, g in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if size and (size > CHUNK or g != group):
                     settle()
-                    words, size = [], 0
-        if words:
+                    size = 0
+                if g != group:
+                    yield from rows(1, group)
+                    group = g
+                words[out].append(tokens(x.as_py()))
+                size += sum(map(len, words[out][-1])) + 1
+                texts += not out
+        if size:
             settle()
+        yield from rows(1, group)
+        yield from rows(0, 0)
         if texts:
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([texts], pa.int64())})
-            for kind in range(2):
-                keys, counts = summed(held[kind])[0]
-                for i in range(0, len(keys), 100_000):
-                    part = keys[i : i + 100_000].view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(part), kind, np.int32)), "key": pa.array(part), "n": pa.array(counts[i : i + 100_000])})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "group": pa.array([0], pa.int64()), "key": pa.array([0], pa.int64()), "n": pa.array([texts], pa.int64())})
 
-    return train.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out", "group").mapInArrow(run, "kind int, group long, key long, n long")
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -112,7 +152,9 @@ def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """contexts[d]: the opened contexts of d bytes (ascending; the last byte lowest); counts[d]: of the bytes after them."""
+    """The tree in one place, for small counts; the passes over its parts (`weighed`, `Top`) give the same.
+
+    contexts[d]: the opened contexts of d bytes (ascending; the last byte lowest); counts[d]: of the bytes after them."""
 
     def __init__(self, contexts: list[np.ndarray], counts: list[np.ndarray]):
         self.children, self.offsets = [], np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
@@ -165,49 +207,151 @@ class Tree:
         return np.add.reduceat(values, first) / math.log(10)
 
 
-def tree_of(counts: DataFrame, share: int = SHARE) -> Tree:
-    grams = counts.where("kind = 1")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // share))
-    context = F.shiftrightunsigned("key", 8)
-    depths = F.array(*[F.struct(F.lit(d).alias("d"), context.bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context")) for d in range(DEPTH + 1)])
-    by = grams.select(F.inline(depths), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
-    by = saved(by, "contexts")
-    opened = by.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= least).drop("all")
-    rows = by.join(opened, ["d", "context"]).toArrow()  # 256 * share * (DEPTH + 1) rows at most, far fewer in fact
-    d, c, b, n = (rows[x].to_numpy().astype(np.int64) for x in ("d", "context", "byte", "n"))
-    contexts, tables = [], []
-    for k in range(DEPTH + 1):
-        own = np.unique(c[d == k]) if k else np.zeros(1, np.int64)
-        table = np.zeros((len(own), 256), np.float64)
-        np.add.at(table, (np.searchsorted(own, c[d == k]), b[d == k]), n[d == k])
-        contexts.append(own)
-        tables.append(table)
-    return Tree(contexts, tables)
-
-
-def scored(docs: DataFrame, share: int = SHARE, frequent: int = FREQUENT) -> DataFrame:
+def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (b + 0.5) / (a + b + 1)
+
+
+class Top:
+    """The contexts of 0 and 1 bytes. Node: 256 * the byte of the context + the path, 1 and the bits so far.
+
+    a, b: zeros and ones at each node; oa, ob: those in opened contexts of LOW bytes; below: log probabilities of these."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, oa: np.ndarray, ob: np.ndarray, below: np.ndarray):
+        a, b, oa, ob, below = (x.reshape(256, 256) for x in (a, b, oa, ob, below))
+        live = a[:, 1] + b[:, 1] >= OPEN
+
+        def weigh(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+            leaf = kt(a, b)
+            whole = np.logaddexp(leaf, kt(ra, rb) + below) - math.log(2)
+            return whole, np.exp(leaf - math.log(2) - whole), one(a, b), one(ra, rb)
+
+        whole, weight, own, rest = weigh(a, b, a - oa, b - ob, below)
+        a0, b0 = a.sum(0), b.sum(0)
+        _, weight0, own0, rest0 = weigh(a0, b0, a0 - a[live].sum(0), b0 - b[live].sum(0), whole[live].sum(0))
+        mixed, left = weight0 * own0, 1 - weight0
+        p = np.where(live[:, None], mixed + left * (weight * own + (1 - weight) * rest), mixed + left * rest0)
+        self.mixed, self.left = (mixed + left * weight * own).ravel(), (left * (1 - weight)).ravel()
+        logs, byte = np.zeros((256, 256)), np.arange(256)
+        for level in range(8):
+            q = p[:, 1 << level | byte >> (8 - level)]
+            logs += np.log(np.where(byte >> (7 - level) & 1, q, 1 - q))
+        self.logs = logs.ravel()
+
+
+def weighed(keys: np.ndarray, n: np.ndarray, top: Top | None) -> np.ndarray:
+    """Of sequences and their counts, with all that share the last LOW bytes of the context: the log probability of each
+    one's last byte, or without `top`, the arrays that it is made of."""
+    depths = range(LOW, DEPTH + 1)
+    pairs, of, up, counts, opened = {}, {}, {}, {}, {}  # by depth; a pair is a context and the byte after it
+    for d in depths:
+        pairs[d], first, of[d] = np.unique(keys & ((1 << (8 * d + 8)) - 1), return_index=True, return_inverse=True)
+        counts[d] = np.bincount(of[d], n)
+        context = np.cumsum(np.r_[True, np.diff(pairs[d] >> 8) != 0]) - 1
+        opened[d] = np.bincount(context, counts[d])[context] >= OPEN
+        if d > LOW:
+            up[d] = of[d - 1][first]
+    sums = np.zeros((5, 1 << 16))
+    logs = {d: np.zeros(len(pairs[d])) for d in depths}
+    for level in range(8):
+        node, first, bit, a, b, live, parent, ra, rb, weight = ({} for _ in range(10))
+        for d in depths:
+            ids = pairs[d] >> (8 - level)
+            start = np.r_[True, ids[1:] != ids[:-1]]
+            node[d], first[d] = np.cumsum(start) - 1, np.flatnonzero(start)
+            bit[d] = pairs[d] >> (7 - level) & 1
+            b[d] = np.bincount(node[d], counts[d] * bit[d])
+            a[d] = np.bincount(node[d], counts[d]) - b[d]
+            live[d] = opened[d][first[d]]
+            if d > LOW:
+                parent[d] = node[d - 1][up[d][first[d]]]
+        whole = kt(a[DEPTH], b[DEPTH])
+        for d in range(DEPTH - 1, LOW - 1, -1):
+            on, size = live[d + 1], len(a[d])
+            at = parent[d + 1][on]
+            ra[d], rb[d] = a[d] - np.bincount(at, a[d + 1][on], size), b[d] - np.bincount(at, b[d + 1][on], size)
+            leaf = kt(a[d], b[d])
+            whole = np.logaddexp(leaf, kt(ra[d], rb[d]) + np.bincount(at, whole[on], size)) - math.log(2)
+            weight[d] = np.exp(leaf - math.log(2) - whole)
+        ids = pairs[LOW][first[LOW]] >> (8 - level)
+        above = (ids >> level & 255) << 8 | 1 << level | ids & ((1 << level) - 1)
+        if top is None:
+            on = live[LOW]
+            for k, x in enumerate((a[LOW], b[LOW], a[LOW] * on, b[LOW] * on, whole * on)):
+                sums[k] += np.bincount(above, x, 1 << 16)
+            continue
+        mixed, left = top.mixed[above], top.left[above]
+        for d in depths:
+            own = one(a[d], b[d])
+            p = (mixed + left * (own if d == DEPTH else weight[d] * own + (1 - weight[d]) * one(ra[d], rb[d])))[node[d]]
+            logs[d] += np.log(np.where(bit[d], p, 1 - p))
+            if d < DEPTH:
+                mixed, left = (mixed + left * weight[d] * own)[parent[d + 1]], (left * (1 - weight[d]))[parent[d + 1]]
+    if top is None:
+        return sums
+    values = top.logs[keys & 0xFFFF]
+    for d in depths:
+        values = np.where(opened[d][of[d]], logs[d][of[d]], values)
+    return values
+
+
+def sequence_logs(grams: DataFrame) -> DataFrame:
+    """key, log: the log probability of the last byte of each sequence, by the tree of the counts (key, n)."""
+    context = grams.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, grams.count() // PART + 1)
+    dealt = grams.select("key", "n").repartition(parts, F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1)))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        return tuple(np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in range(2))
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = own(batches)
+        if len(keys):
+            sums = weighed(keys, n, None)
+            at = np.flatnonzero(sums[0] + sums[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x[at]) for x in sums]], ["node", *"abcde"])
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = own(batches)
+        if len(keys):
+            values = weighed(keys, n, shared.value)
+            for i in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(values[i : i + 100_000].astype(np.float32))], ["key", "log"])
+
+    sums = np.zeros((5, 1 << 16))
+    nodes = dealt.mapInArrow(up, "node long, a double, b double, c double, d double, e double").groupBy("node").agg(*[F.sum(x).alias(x) for x in "abcde"]).toArrow()
+    sums[:, nodes["node"].to_numpy()] = [nodes[x].to_numpy() for x in "abcde"]
+    shared = context.broadcast(Top(*sums))
+    return dealt.mapInArrow(down, "key long, log float")
+
+
+def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows not held out."""
-    docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), 1).alias("held_out"))
     spark = docs.sparkSession
-    counts = saved(counted(docs.where("NOT held_out")), "counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("h"), F.col("n").alias("c"))
+    docs = grouped(docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), 1).alias("held_out")))
+    counts = saved(counted(docs), "counts")
+    words = saved(counts.where("kind = 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")), "words")
     texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     n, v = words.agg(F.sum("c"), F.count("*")).first()
     n, v = (n or 0) + texts, v + (texts > 0)
-    tree = tree_of(counts, share)
+    met = counts.where("kind = 1").select("group", "key")
+    logs = sequence_logs(saved(counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "sequences"))
+    values = met.join(logs, "key").select("group", "key", "log")
     floor = count_floor(words, "c", frequent, 2)
     top = words.where(F.col("c") >= floor).toArrow()
     h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((tree.children, tree.offsets, tree.logs, h[order], c[order]))
+    shared = spark.sparkContext.broadcast((h[order], c[order]))
     end = math.log10(texts + 0.5)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts_of: pa.Table, known_logs: pa.Table) -> pa.Table:
+        import pandas as pd
         import xxhash
 
-        children, offsets, logs, often, counts = shared.value
-        for batch in batches:
+        (often, counts), out = shared.value, []
+        found, log = np.unique(known_logs["key"].to_numpy(), return_index=True)
+        sequence, log = pd.Index(found), known_logs["log"].to_numpy()[log]
+        for batch in texts_of.to_batches():
             ids, texts_, held, k = batch.column(0), batch.column(1), batch.column(2), 0
             while k < len(batch):
                 words, size, first = [], 0, k
@@ -215,7 +359,10 @@ def scored(docs: DataFrame, share: int = SHARE, frequent: int = FREQUENT) -> Dat
                     words.append(tokens(texts_[k].as_py()))
                     size += sum(map(len, words[-1])) + 1
                     k += 1
-                scores = Tree.scores(children, offsets, logs, *stream(words))
+                raw, starts = stream(words)
+                at = coded(raw, starts)
+                place = sequence.get_indexer(sequences(raw, at))
+                scores = np.add.reduceat(log[place].astype(np.float64), np.searchsorted(at, starts)) / math.log(10)
                 sizes = np.array([len(w) for w in words])
                 h = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in words for w in x), np.uint64, int(sizes.sum()))
                 doc = np.repeat(np.arange(len(words)), sizes)
@@ -225,12 +372,13 @@ def scored(docs: DataFrame, share: int = SHARE, frequent: int = FREQUENT) -> Dat
                 base = np.bincount(doc[hit], np.log10(counts[at[hit]] + 0.5), len(words)) if hit.any() else np.zeros(len(words))
                 cuts = np.searchsorted(doc[~hit], np.arange(1, len(words)))
                 rare = [np.unique(x, return_counts=True) for x in np.split(h[~hit], cuts)]
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [ids.slice(first, k - first).cast(pa.int64()), held.slice(first, k - first), pa.array(sizes + 1), pa.array(known + (texts > 0)), pa.array(base + end), pa.array(scores), pa.array([x.view(np.int64) for x, _ in rare], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in rare], pa.list_(pa.int32()))],
                     ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
-                )
+                ))
+        return pa.Table.from_batches(out)
 
-    rows = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
+    rows = docs.groupBy("group").cogroup(values.groupBy("group")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = rows.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("t"))))
     found = rare.join(words, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"))

@@ -156,6 +156,36 @@ def test_context_tree(docs, none):
     assert context_tree.scored(none).collect() == []
 
 
+def test_context_tree_opens_at_any_size(spark, monkeypatch):
+    """The passes over parts and groups against the tree in one place, with all contexts seen twice, on 400 KB of text."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(WORDS, 90)) + f" rare{i // 2:05d} {i}") for i in range(1000)]
+    monkeypatch.setattr(context_tree, "GROUP", 50_000)
+    got = {r["doc_id"]: r["score"] for r in context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = [Counter() for _ in range(context_tree.DEPTH + 1)]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            raw = b"\n" * context_tree.DEPTH + t.encode() + b"\n"
+            for k in range(context_tree.DEPTH, len(raw)):
+                for d in range(context_tree.DEPTH + 1):
+                    seen[d][int.from_bytes(raw[k - d : k], "big"), raw[k]] += 1
+    contexts, tables = [], []
+    for pairs in seen:
+        total = Counter()
+        for (c, _), n in pairs.items():
+            total[c] += n
+        contexts.append(np.array(sorted(c for c, n in total.items() if n >= 2), np.int64))
+        place = {c: k for k, c in enumerate(contexts[-1].tolist())}
+        tables.append(np.zeros((len(place), 256)))
+        for (c, b), n in pairs.items():
+            if c in place:
+                tables[-1][place[c], b] = n
+    assert sum(min(t.sum(1)) == 2 for t in tables) >= 2 and tables[0].sum() > 400_000
+    tree = context_tree.Tree(contexts, tables)
+    whole = tree.scores(tree.children, tree.offsets, tree.logs, *context_tree.stream([context_tree.tokens(t) for _, t in rows]))
+    assert all(abs(got[i] - s) < 1e-5 * abs(s) for (i, _), s in zip(rows, whole.tolist(), strict=True))
+
+
 def test_context_tree_is_a_distribution():
     context = [np.arange(1) for _ in range(1)]
     counts = [np.zeros((1, 256)) for _ in range(1)]
