@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows, by Spark expressions alone.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; shingles are five words (an item with fewer is one shingle). A
-window is as long as an item. A window that reaches the similarity shares at least 8/9 (for 0.8) of its shingles with
-an item of its size, so only windows with so many shingles of items of that size are fingerprinted: none is lost.
+window is as long as an item; a document with fewer shingles than the item is one window. A window of m shingles that
+reaches the similarity to an item of n shares at least 4/9 (for 0.8) of n + m with it, so only windows with so many
+shingles of items of that size are fingerprinted: none is lost.
 Fingerprints are 64-bit SimHashes, summed in packed 16-bit lanes. Items' fingerprints are indexed in 8 blocks, each
 under all values within radius // 8 bits: any two within the radius meet in some block. Pairs that meet and are
 within the radius are verified by the weighted (multiset) Jaccard similarity of their shingles.
@@ -75,9 +76,11 @@ def overlap(a: Column, b: Column) -> Column:
 def leaks_of(docs: DataFrame, items: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
     """Leaks of items (item_id, n, hashes) whose shingles are `width` words."""
     sizes = saved(items.select(F.explode("hashes").alias("h"), "n").distinct(), "item-shingles")
-    marked = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(hashes(words(F.col("text")), width)).alias("at", "h")).join(small(sizes), "h")
-    least = F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}")  # the least overlap of two sets of n
-    hits = marked.groupBy("doc_id", "row", "n").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumn("c", least.cast("int")).where(F.size("at") >= F.col("c"))
+    shingled = docs.select("doc_id", F.xxhash64("text").alias("row"), hashes(words(F.col("text")), width).alias("all"))
+    shingled = shingled.select("doc_id", "row", "all", F.size("all").alias("m"))
+    marked = shingled.select("doc_id", "row", "m", F.posexplode("all").alias("at", "h")).join(small(sizes), "h")
+    least = F.expr(f"({percent} * (n + least(m, n)) + {99 + percent}) div {100 + percent}")  # the least overlap of an item and a window
+    hits = marked.groupBy("doc_id", "row", "n").agg(F.first("m").alias("m"), F.array_sort(F.collect_set("at")).alias("at")).withColumn("c", least.cast("int")).where(F.size("at") >= F.col("c"))
 
     def starts(at: Column, n: Column, c: Column) -> Column:
         """Places from which n shingles hold at least c of the places `at`: for each first place in the window, a range."""
@@ -87,12 +90,13 @@ def leaks_of(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
 
         return F.flatten(F.transform(at, from_first))
 
-    spots = saved(hits.select("doc_id", "row", F.col("n").alias("n"), starts(F.col("at"), F.col("n"), F.col("c")).alias("starts")).where(F.size("starts") > 0), "spots")
+    places = F.when(F.col("m") < F.col("n"), F.array(F.lit(0))).otherwise(starts(F.col("at"), F.col("n"), F.col("c")))
+    spots = saved(hits.select("doc_id", "row", F.col("n").alias("n"), places.alias("starts")).where(F.size("starts") > 0), "spots")
     asked = small(spots.select(F.col("doc_id").alias("_a"), F.col("row").alias("_b")).distinct())
     whole = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_row")).join(asked, F.col("_id").eqNullSafe(F.col("_a")) & (F.col("_row") == F.col("_b")), "left_semi")
     whole = whole.dropDuplicates(["_id", "_row"]).select("_id", "_row", hashes(words(F.col("text")), width).alias("all"))
     opened = spots.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-    windows = opened.select("doc_id", "row", "n", "all", F.explode("starts").alias("start")).where(F.col("start") + F.col("n") <= F.size("all"))
+    windows = opened.select("doc_id", "row", "n", "all", F.explode("starts").alias("start")).where((F.col("start") == 0) | (F.col("start") + F.col("n") <= F.size("all")))
     windows = saved(windows.select("doc_id", "row", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("hashes")), "windows")
     keys = ["doc_id", "row", "n", "start"]
     prints = fingerprints(windows, keys)
@@ -103,9 +107,9 @@ def leaks_of(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
     both = near.join(of, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row") == F.col("_row")) & (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_start")))
     both = both.select(*keys, "item_id", "hashes").join(items.select("item_id", F.col("hashes").alias("own")), "item_id")
     shared = overlap(F.col("hashes"), F.col("own"))
-    similar = both.select("doc_id", "row", "item_id", "start", "n", (shared / (2 * F.col("n") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
+    similar = both.select("doc_id", "row", "item_id", "start", F.size("hashes").alias("m"), (shared / (F.col("n") + F.size("hashes") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
     best = F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start")))
-    return similar.groupBy("doc_id", "row", "item_id").agg(best.alias("b"), F.first("n").alias("n")).select("doc_id", "row", "item_id", "b.start", (F.col("n") + width - 1).alias("n_words"), "b.similarity")
+    return similar.groupBy("doc_id", "row", "item_id").agg(best.alias("b"), F.first("m").alias("m")).select("doc_id", "row", "item_id", "b.start", (F.col("m") + width - 1).alias("n_words"), "b.similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:

@@ -140,6 +140,31 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.digest(none, bench).collect() == [] and decontaminate.digest(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_short_documents(spark):
+    """A document with fewer shingles than an item is one window, here against all items by brute force."""
+    item = said(31, 59).split()
+    cuts = [item[:55], item[4:], item[:50], item[:48], item[:47], item[3:56], [*item[:20], "new", *item[21:57]], [*item[:2], "new", *item[3:57]], item[:58], item, item[:30] * 2, ["a", *item[:55]], item[:4], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(cuts)]
+    loop = " ".join(["x y z"] * 12)
+    rows += [(90, " ".join(["x y z"] * 11)), (91, " ".join(["x y z"] * 7))]
+    bench = [(1, " ".join(item)), (2, loop), (3, "one two")]
+    expected = {}
+    for i, t in rows:
+        for k, b in bench:
+            own, c = words(b), words(t)
+            width = min(5, len(own))
+            grams = lambda v: [tuple(v[j : j + width]) for j in range(len(v) - width + 1)]
+            a, c = Counter(grams(own)), grams(c)
+            n = min(sum(a.values()), len(c))
+            found = [(sum((Counter(c[s : s + n]) & a).values()) / sum((Counter(c[s : s + n]) | a).values()), -s) for s in range(len(c) - n + 1)]
+            if found and max(found)[0] >= 0.8:
+                expected[i, k] = (-max(found)[1], n + width - 1, round(max(found)[0], 6))
+    assert {(0, 1), (1, 1), (2, 1), (90, 2)} <= expected.keys() and not {(4, 1), (91, 2)} & expected.keys()
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.digest(small, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["similarity"]) for r in got} == expected
+
+
 def test_context_tree(docs, none):
     import math
 
