@@ -88,20 +88,24 @@ s AS (SELECT item_id, f.doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.
 SELECT item_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) r WHERE rank <= 5"""
 
 
-@query("bm25_topk", _BM25)
-def bm25_topk(spark, sf_dir):
+def _bm25(spark, sf_dir):
+    """BM25 of all documents that share a word with an item: item_id, doc_id, score."""
     docs = read(spark, sf_dir, "documents")
     split = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    tf = docs.select("doc_id", split("text").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    q = read(spark, sf_dir, "benchmark").select("item_id", split("text").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("qf"))
+    # only words that some item has are counted, before any exchange
+    tf = docs.select("doc_id", split("text").alias("w")).join(F.broadcast(q.select("w").distinct()), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
+    length = docs.select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("dl")).where("dl > 0").groupBy("doc_id").agg(F.sum("dl").alias("dl"))
     n, mean = docs.count(), length.agg(F.avg("dl")).first()[0] or 1.0
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    q = read(spark, sf_dir, "benchmark").select("item_id", split("text").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("qf"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("qf") * idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / mean))
-    # only words that some item has: postings are cut before they are joined with lengths
-    score = tf.join(q.select("w").distinct().join(df, "w"), "w").join(q, "w").join(length, "doc_id").groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return stats.top(score, ["item_id"], [F.round("score", 6).desc(), F.col("doc_id")], 5).withColumn("score", F.round("score", 4))
+    return tf.join(df, "w").join(q, "w").join(length, "doc_id").groupBy("item_id", "doc_id").agg(F.sum(weight).alias("score"))
+
+
+@query("bm25_topk", _BM25)
+def bm25_topk(spark, sf_dir):
+    return stats.top(_bm25(spark, sf_dir), ["item_id"], [F.round("score", 6).desc(), F.col("doc_id")], 5).withColumn("score", F.round("score", 4))
 
 
 @query(
@@ -239,13 +243,23 @@ def nutrient_pivot(spark, sf_dir):
     return out.select("l_orderkey", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 
-@query("hybrid_retrieval", None)
+_HYBRID = _BM25[: _BM25.rindex("\nSELECT")] + """, m AS (SELECT item_id, max(score) AS best FROM s GROUP BY 1),
+h AS (SELECT b.item_id, d.doc_id, coalesce(0.4 * s.score / m.best, 0) + 0.6 * coalesce(quality, 0) AS hybrid FROM benchmark b CROSS JOIN documents d LEFT JOIN s ON s.item_id = b.item_id AND s.doc_id = d.doc_id LEFT JOIN m ON m.item_id = b.item_id LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT item_id, doc_id, round(hybrid, 4) AS hybrid, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(hybrid, 6) DESC, doc_id) AS rank FROM h) r WHERE rank <= 3"""
+
+
+@query("hybrid_retrieval", _HYBRID)
 def hybrid_retrieval(spark, sf_dir):
-    """0.4 of BM25 over its maximum per item and 0.6 of the label-based similarity; the first three."""
-    scored = bm25_topk(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    """0.4 of BM25 over its maximum per item and 0.6 of the label-based similarity, of all documents; the first three."""
+    k = 3
+    similar = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("similarity"))
+    scored = _bm25(spark, sf_dir)
+    # of documents without a word of the item, only the k most similar ones (the same for all items) can be among its first k
+    others = read(spark, sf_dir, "benchmark").select("item_id").crossJoin(F.broadcast(similar.orderBy(F.desc("similarity"), "doc_id").limit(k).select("doc_id"))).withColumn("score", F.lit(0.0))
+    scored = scored.unionByName(others).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
     best = F.max("score").over(Window.partitionBy("item_id"))
-    mixed = scored.withColumn("hybrid", F.round(0.4 * F.col("score") / best + 0.6 * F.coalesce("quality", F.lit(0)), 4)).drop("rank")
-    return stats.top(mixed, ["item_id"], [F.desc("hybrid"), F.col("doc_id")], 3).select("item_id", "doc_id", "hybrid", "rank")
+    mixed = scored.join(similar, "doc_id").withColumn("hybrid", F.coalesce(0.4 * F.col("score") / F.nullif(best, F.lit(0.0)), F.lit(0.0)) + 0.6 * F.col("similarity"))
+    return stats.top(mixed, ["item_id"], [F.round("hybrid", 6).desc(), F.col("doc_id")], k).select("item_id", "doc_id", F.round("hybrid", 4).alias("hybrid"), "rank")
 
 
 @query("grams_to_household", None)

@@ -33,3 +33,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_hybrid_scores_all_documents(spark, tmp_path):
+    """A similar document of BM25 rank 6 or lower, and one without a word of the item, come in."""
+    docs = [(i, "salt " * (9 - i) + "pad " * i) for i in range(8)] + [(8, "other"), (9, None)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("labels", [(7, 1), (8, 1), (0, 0)], "doc_id long, quality int"), ("benchmark", [(1, "salt"), (2, "none of it")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalogue.queries()["hybrid_retrieval"](spark, str(tmp_path)).orderBy("item_id", "rank").collect()
+    assert [(r["item_id"], r["doc_id"]) for r in got] == [(1, 7), (1, 8), (1, 0), (2, 7), (2, 8), (2, 0)]
