@@ -22,3 +22,20 @@ def item_pairs(df: DataFrame, basket: str, item: str) -> DataFrame:
     """Unordered pairs (a < b) of distinct items in each basket."""
     own = df.select(basket, item).distinct()
     return own.select(basket, F.col(item).alias("a")).join(own.select(basket, F.col(item).alias("b")), basket).where("a < b")
+
+
+def levenshtein_pairs(names: DataFrame, column: str, k: int) -> DataFrame:
+    """All pairs a < b of distinct names within an edit distance of k, and it: a, b, d. None is lost.
+
+    The shorter name is cut in k + 1 pieces; k edits leave one of them whole, and shift it by k places at most, so pairs
+    meet by (length of the shorter, piece, text). Names too short for k + 1 pieces meet all names of a length within k."""
+    names = names.select(F.col(column).alias("w"), F.length(column).alias("size")).where("w IS NOT NULL")
+    whole = "array(named_struct('i', 0, 'g', ''))"
+    at, long = f"CAST(i * n DIV {k + 1} AS INT)", f"CAST((i + 1) * n DIV {k + 1} - i * n DIV {k + 1} AS INT)"
+    own = f"IF(n <= {k}, {whole}, transform(sequence(0, {k}), i -> named_struct('i', i, 'g', substring(w, {at} + 1, {long}))))"
+    places = f"filter(sequence(greatest({at} - {k}, 0), {at} + {k}), p -> p + {long} <= size)"
+    other = f"IF(n <= {k}, {whole}, array_distinct(flatten(transform(sequence(0, {k}), i -> transform({places}, p -> named_struct('i', i, 'g', substring(w, p + 1, {long})))))))"
+    short = names.withColumn("n", F.col("size")).select(F.col("w").alias("x"), "n", F.expr(f"inline({own})"))
+    probe = names.withColumn("n", F.explode(F.sequence(F.greatest(F.col("size") - k, F.lit(0)), "size"))).select(F.col("w").alias("y"), "n", F.expr(f"inline({other})"))
+    met = short.join(probe, ["n", "i", "g"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select("a", "b", F.levenshtein("a", "b").alias("d")).where(F.col("d") <= k)

@@ -73,6 +73,12 @@ def levenshtein_alias(spark, sf_dir):
     return met.select("a", "b", F.levenshtein("a", "b").alias("d")).where("d <= 5")
 
 
+@query("levenshtein_alias_whole", "WITH n AS (SELECT DISTINCT p_name AS w FROM part) SELECT a.w AS a, b.w AS b, CAST(levenshtein(a.w, b.w) AS INT) AS d FROM n a JOIN n b ON a.w < b.w AND levenshtein(a.w, b.w) <= 5")
+def levenshtein_alias_whole(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select("p_name").distinct()
+    return joins.levenshtein_pairs(names, "p_name", 5)
+
+
 @query("substring_match", "SELECT a.p_partkey, min(b.p_type) AS best FROM part a JOIN (SELECT DISTINCT p_type FROM part) b ON contains(lower(a.p_type || ' ' || a.p_name), lower(b.p_type)) GROUP BY 1")
 def substring_match(spark, sf_dir):
     part = read(spark, sf_dir, "part")

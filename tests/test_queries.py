@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -42,3 +44,20 @@ def test_hybrid_scores_all_documents(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = catalogue.queries()["hybrid_retrieval"](spark, str(tmp_path)).orderBy("item_id", "rank").collect()
     assert [(r["item_id"], r["doc_id"]) for r in got] == [(1, 7), (1, 8), (1, 0), (2, 7), (2, 8), (2, 0)]
+
+
+def test_levenshtein_pairs_loses_none(spark, duck):
+    from platewise.operators import joins
+
+    rng = random.Random(5)
+    names = {"", "a", "abcde", "zbcdefgh"} | {"".join(rng.choices("abc ", k=rng.randrange(1, 16))) for _ in range(150)}
+    frame = spark.createDataFrame([(x,) for x in [*names, None]], "w string")
+    every = duck.execute("SELECT a, b, levenshtein(a, b) FROM (SELECT unnest(?) AS a) x JOIN (SELECT unnest(?) AS b) y ON a < b", [[*names], [*names]]).fetchall()
+    for k in (1, 2, 5):
+        expected = {(a, b): d for a, b, d in every if d <= k}
+        assert {(r["a"], r["b"]): r["d"] for r in joins.levenshtein_pairs(frame, "w", k).collect()} == expected
+
+
+def test_levenshtein_alias_whole_crosses_first_letters(spark):
+    got = catalogue.queries()["levenshtein_alias_whole"](spark, DATA).collect()
+    assert any(r["a"][0] != r["b"][0] for r in got) and ("blue anvil", "cold anvil", 4) in {(r["a"], r["b"], r["d"]) for r in got}
