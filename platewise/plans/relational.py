@@ -71,6 +71,9 @@ _B = """x AS (SELECT u, e.i, sum(s * w * f.idf) AS diff FROM e JOIN (SELECT i, l
 both("pref_bm25", f"WITH {_EVENTS}, {_B} SELECT u, i, round(score, 5) + 0.0 AS score FROM b")
 both("pref_ensemble_topk", f"""WITH {_EVENTS}, {_A}, {_B} SELECT u, i, round(s, 5) AS score FROM (SELECT u, i, s, row_number() OVER (PARTITION BY u ORDER BY round(s, 6) DESC, i) AS r FROM
  (SELECT coalesce(a.u, b.u) AS u, coalesce(a.i, b.i) AS i, least(greatest(0.6 * coalesce(tanh(d / 2), 0) + 0.4 * coalesce(score, 0), -1), 1) AS s FROM a FULL OUTER JOIN b ON a.u = b.u AND a.i = b.i) c WHERE s > 0.05) t WHERE r <= 10""")
+both("pref_ensemble_sides_topk", f"""WITH {_EVENTS}, {_A}, {_B} SELECT u, i, side, round(s, 5) + 0.0 AS score, r FROM (SELECT u, i, side, s, row_number() OVER (PARTITION BY u, side ORDER BY abs(round(s, 6)) DESC, i) AS r FROM
+ (SELECT u, i, s, CASE WHEN s > 0 THEN 'liked' ELSE 'disliked' END AS side FROM (SELECT coalesce(a.u, b.u) AS u, coalesce(a.i, b.i) AS i, least(greatest(0.6 * coalesce(tanh(d / 2), 0) + 0.4 * coalesce(score, 0), -1), 1) AS s
+ FROM a FULL OUTER JOIN b ON a.u = b.u AND a.i = b.i) c WHERE round(s, 6) <> 0) t) q WHERE r <= 80 AND (abs(s) > 0.05 OR r <= 3)""")
 both("complementarity_pairs", """WITH n AS (SELECT p_name AS i, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1),
  q AS (SELECT {lo} AS lo, {hi} AS hi FROM n), t AS (SELECT i, CASE WHEN a <= (SELECT lo FROM q) THEN 'low' WHEN a >= (SELECT hi FROM q) THEN 'high' END AS tag, b FROM n)
  SELECT x.i AS a, y.i AS b, round(x.b / y.b, 6) AS synergy FROM t x JOIN t y ON x.tag = 'low' AND y.tag = 'high'""", lo=("percentile(a, 0.25)", "quantile_cont(a, 0.25)"), hi=("percentile(a, 0.75)", "quantile_cont(a, 0.75)"))

@@ -61,3 +61,13 @@ def test_levenshtein_pairs_loses_none(spark, duck):
 def test_levenshtein_alias_whole_crosses_first_letters(spark):
     got = catalogue.queries()["levenshtein_alias_whole"](spark, DATA).collect()
     assert any(r["a"][0] != r["b"][0] for r in got) and ("blue anvil", "cold anvil", 4) in {(r["a"], r["b"], r["d"]) for r in got}
+
+
+def test_pref_sides(spark):
+    """Both sides of each user, up to 80 each, filled up to three by weaker ones."""
+    got = catalogue.queries()["pref_ensemble_sides_topk"](spark, DATA).toPandas()
+    liked, disliked = got[got.side == "liked"], got[got.side == "disliked"]
+    assert (liked.score >= 0).all() and (disliked.score <= 0).all() and len(liked) and len(disliked)
+    former = catalogue.queries()["pref_ensemble_topk"](spark, DATA).toPandas()
+    assert set(zip(former.u, former.i, strict=True)) < set(zip(liked.u, liked.i, strict=True))
+    assert not got.duplicated(["u", "i"]).any() and got.r.max() <= 80 and (got[got.score.abs() < 0.04].r <= 3).all()
