@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from platewise.llm.common import count_floor, let, saved
+from platewise.llm.common import constant, count_floor, let, saved
 
 NONE = 2_147_483_647
 #: Words in the dictionary: some 8 MB with their ids.
@@ -174,18 +174,6 @@ class Fold:
         return F.when(F.octet_length(word) > 0, folded).otherwise(none)
 
 
-def constant(row: DataFrame) -> list[Column]:
-    """The columns of a one-row table as literals: a subquery may not stand inside a higher-order function."""
-    jvm, fields = row.sparkSession._jvm, row.schema.fields
-    values = row._jdf.queryExecution().executedPlan().executeCollect()[0]
-    out = []
-    for i, field in enumerate(fields):
-        kind = jvm.org.apache.spark.sql.types.DataType.fromJson(field.dataType.json())
-        literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(values.getArray(i), kind)
-        out.append(Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal)))
-    return out
-
-
 def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DICTIONARY) -> dict[str, bytes]:
     """At most `most` of the most frequent words, with their ids as little-endian 32-bit integers.
 

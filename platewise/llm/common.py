@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); own only where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Own only where it is unset and all runs in one place,
+    as in tests; on a cluster an unset folder is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="platewise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,7 +39,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Remove the files of a saved table that no plan reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column, rest: int) -> Column:
@@ -61,25 +86,137 @@ def count_floor(counts: DataFrame, column: str, most: int, least: int = 1) -> in
     return floor if floor is not None else 1 << 62
 
 
+#: Nodes whose neighbours are dealt apart from the rest: at most so many, for each has that share of all edges.
+HUBS = 1024
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), the smallest id that can be reached.
 
-    Alternating large-star and small-star steps; every step groups by a node with partial minima, and the
-    table is written to the shared folder after each round, so neither lineage nor a hub's neighbours gather in one task.
+    Alternating large-star and small-star steps; each task first makes stars of what its own edges connect, so that small
+    graphs take one round. Minima are partial aggregates; those of hubs (at most HUBS nodes with
+    1 / HUBS of the edges each, and 64) are broadcast, so that a hub's neighbours stay where they are. Each round's table
+    is written to the shared folder and the one before removed.
     """
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
+    spark = edges.sparkSession
+
+    def lowest(rows: DataFrame, total: int) -> DataFrame:
+        """rows (a, b) and m, the smallest b of a."""
+        low = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        floor = max(64, total // HUBS)
+        hubs = low.where(F.col("n") > floor).select("a", "m").toArrow()
+        if not hubs.num_rows:
+            return rows.join(low.drop("n"), "a")
+        hubs = F.broadcast(spark.createDataFrame(hubs))
+        return rows.join(hubs, "a").unionByName(rows.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= floor).drop("n"), "a"))
+
+    def stars(rows: DataFrame) -> DataFrame:
+        oriented = rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return saved(oriented.mapInArrow(contracted, "a long, b long"), name)
+
+    edges = stars(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = saved(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.countDistinct("a")).first()
-        if state == last and (state[0] or 0) == (state[2] or 0):
+        total, tops = edges.agg(F.count("*"), F.countDistinct("a")).first()
+        parents = edges.select("b").distinct()
+        if total == tops and edges.join(parents.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
             break
-        last = state
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = lowest(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = lowest(large, total)
+        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        before, edges = edges, stars(small)
+        discarded(before)
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
+    return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), some `most` at a time, as stars: each node with the smallest that these edges lead to."""
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        n = sum(map(len, held))
+        ids, at = np.unique(np.concatenate([b.column(i).to_numpy() for i in range(2) for b in held]), return_inverse=True)
+        u, v, top = at[:n], at[n:], np.arange(len(ids))
+        while ((x := top[u]) != (y := top[v])).any():
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top[top] != top).any():
+                top = top[top]
+        below = np.flatnonzero(top != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[below]), pa.array(ids[top[below]])], ["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= most:
+            yield found(held)
+            held, size = [], 0
+    if size:
+        yield found(held)
+
+
+#: Rows of a table up to which it is broadcast; beyond, the join shuffles.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it is saved and has at most SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def constant(row: DataFrame) -> list[Column]:
+    """The columns of a one-row table as literals: a subquery may not stand inside a higher-order function."""
+    jvm, fields = row.sparkSession._jvm, row.schema.fields
+    values = row._jdf.queryExecution().executedPlan().executeCollect()[0]
+    out = []
+    for i, field in enumerate(fields):
+        kind = jvm.org.apache.spark.sql.types.DataType.fromJson(field.dataType.json())
+        literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(values.getArray(i), kind)
+        out.append(Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal)))
+    return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: Column, small: int = SMALL) -> DataFrame:
+    """docs without the rows whose (doc_id, row) the table dropped (doc_id, row) has; columns as given.
+
+    A small table is broadcast. Otherwise rows that pass a bounded filter of its keys are joined by a shuffle, all others
+    stay where they are."""
+    a, b, c = fresh(docs, "dropped_id", "dropped_row", "row_key")
+    dropped = dropped.select(F.col("doc_id").alias(a), F.col("row").alias(b))
+    marked = docs.withColumn(c, row)
+    same = F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(c) == F.col(b))
+    if dropped.count() <= small:
+        return marked.join(F.broadcast(dropped), same, "left_anti").drop(c)
+    bits = id_filter(dropped.select(F.xxhash64(a, b).alias("h")))
+    words = constant(docs.sparkSession.createDataFrame(pa.table({"w": pa.array([bits.view(np.int64)], pa.list_(pa.int64()))})))[0]
+
+    def inside(p: Column) -> Column:
+        p = p.bitwiseAND(F.lit(64 * len(bits) - 1))
+        return F.call_function("getbit", F.get(words, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    h = F.xxhash64("doc_id", c)
+    maybe = inside(h) & inside(F.shiftrightunsigned(h, 32))
+    return marked.where(~maybe).drop(c).unionByName(marked.where(maybe).join(dropped.hint("merge"), same, "left_anti").drop(c))
+
+
+#: Bits of a filter of ids: 8 MB at most, whatever the number of ids.
+FILTER = 1 << 26
+
+
+def id_filter(hashes: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """Bits at the places of hashes (one long column, h): a Bloom filter of bounded size, put together by partial aggregates."""
+    places = hashes.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("p")).select(F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    one = F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]), F.col("p").bitwiseAND(F.lit(63)).cast("int") + 1)
+    found = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["w"].to_numpy()] = found["v"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether hashes may be in the filter; those that are, pass."""
+    h, mask = h.astype(np.int64).view(np.uint64), np.uint64(64 * len(filter_) - 1)
+    hit = np.ones(len(h), bool)
+    for p in (h & mask, (h >> np.uint64(32)) & mask):
+        hit &= (filter_[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit

@@ -16,7 +16,8 @@ The base is a smoothed unigram model of whole words. The counts of a bounded num
 rarer words of a document are joined with theirs.
 
 Null text counts as empty: one end token. Repeated rows are scored alike and count as often as they stand. Without
-training rows every byte has probability 1/256. Words are compared by 64-bit hashes.
+training rows every byte has probability 1/256. Words are compared by 64-bit hashes. An empty table gives no rows; other
+columns are ignored, ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -326,7 +327,7 @@ def sequence_logs(grams: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows not held out."""
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length). Learns from rows not held out."""
     spark = docs.sparkSession
     docs = grouped(docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), 1).alias("held_out")))
     counts = saved(counted(docs), "counts")
@@ -373,12 +374,12 @@ def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
                 cuts = np.searchsorted(doc[~hit], np.arange(1, len(words)))
                 rare = [np.unique(x, return_counts=True) for x in np.split(h[~hit], cuts)]
                 out.append(pa.RecordBatch.from_arrays(
-                    [ids.slice(first, k - first).cast(pa.int64()), held.slice(first, k - first), pa.array(sizes + 1), pa.array(known + (texts > 0)), pa.array(base + end), pa.array(scores), pa.array([x.view(np.int64) for x, _ in rare], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in rare], pa.list_(pa.int32()))],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
+                    [ids.slice(first, k - first).cast(pa.int64()), held.slice(first, k - first), pa.array(sizes + 1), pa.array(np.diff(np.append(starts, len(raw))) - DEPTH), pa.array(known + (texts > 0)), pa.array(base + end), pa.array(scores), pa.array([x.view(np.int64) for x, _ in rare], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in rare], pa.list_(pa.int32()))],
+                    ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "score", "rare", "times"],
                 ))
         return pa.Table.from_batches(out)
 
-    rows = docs.groupBy("group").cogroup(values.groupBy("group")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
+    rows = docs.groupBy("group").cogroup(values.groupBy("group")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rare array<long>, times array<int>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = rows.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("t"))))
     found = rare.join(words, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"))
@@ -386,4 +387,5 @@ def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     return rows.drop("rare", "times").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
+        (F.col("score") * -math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -9,7 +9,7 @@ under all values within radius // 8 bits: any two within the radius meet in some
 within the radius are verified by the weighted (multiset) Jaccard similarity of their shingles.
 
 Null text counts as empty; empty texts and items match nothing. Rows of equal id and text are one document. An empty
-table, or benchmark, gives no rows. Other columns are ignored.
+table, or benchmark, gives no rows. Other columns are ignored, and kept by `decontaminated` whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import SPACE, ascii_lower, let, saved
+from platewise.llm.common import SPACE, ascii_lower, let, saved, small, without
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
-#: Rows of a side up to which it is broadcast; beyond, the join shuffles.
-SMALL = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -36,11 +34,6 @@ def hashes(w: Column, width: int) -> Column:
     return let(w, lambda v: F.when(F.size(v) < width, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(width)]))))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is saved and has at most SMALL rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and simhash of rows with keys and hashes: bit i is set if more than half of the hashes have it."""
     lanes = 0x0001000100010001
@@ -97,25 +90,29 @@ def leaks_of(docs: DataFrame, items: DataFrame, width: int, percent: int, radius
     whole = whole.dropDuplicates(["_id", "_row"]).select("_id", "_row", hashes(words(F.col("text")), width).alias("all"))
     opened = spots.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
     windows = opened.select("doc_id", "row", "n", "all", F.explode("starts").alias("start")).where((F.col("start") == 0) | (F.col("start") + F.col("n") <= F.size("all")))
-    windows = saved(windows.select("doc_id", "row", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("hashes")), "windows")
-    keys = ["doc_id", "row", "n", "start"]
-    prints = fingerprints(windows, keys)
+    windows = windows.select("doc_id", "row", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("hashes"))
+    windows = saved(windows.withColumn("window", F.xxhash64("hashes")), "windows")
+    # a passage that many documents have is one window: it is fingerprinted, met and verified once
+    each = windows.select("n", "window", "hashes").groupBy("n", "window").agg(F.first("hashes").alias("hashes"))
+    each, keys = saved(each, "distinct-windows"), ["n", "window"]
+    prints = fingerprints(each, keys)
     index = fingerprints(items, ["item_id", "n"]).select("item_id", "n", F.col("simhash").alias("s"), F.inline(blocks(F.col("simhash"), radius // BLOCKS)))
     met = prints.select(*keys, "simhash", F.inline(blocks(F.col("simhash")))).join(index, ["n", "block", "value"])
     near = met.where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("s"))) <= radius).select(*keys, "item_id").distinct()
-    of = windows.select(*[F.col(k).alias(f"_{k}") for k in keys], "hashes")
-    both = near.join(of, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row") == F.col("_row")) & (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_start")))
-    both = both.select(*keys, "item_id", "hashes").join(items.select("item_id", F.col("hashes").alias("own")), "item_id")
+    both = near.join(each, keys).join(items.select("item_id", F.col("hashes").alias("own")), "item_id")
     shared = overlap(F.col("hashes"), F.col("own"))
-    similar = both.select("doc_id", "row", "item_id", "start", F.size("hashes").alias("m"), (shared / (F.col("n") + F.size("hashes") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
-    best = F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start")))
-    return similar.groupBy("doc_id", "row", "item_id").agg(best.alias("b"), F.first("m").alias("m")).select("doc_id", "row", "item_id", "b.start", (F.col("m") + width - 1).alias("n_words"), "b.similarity")
+    similar = both.select(*keys, "item_id", F.size("hashes").alias("m"), (shared / (F.col("n") + F.size("hashes") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent - 1e-9)
+    placed = windows.select("doc_id", "row", "start", *keys).join(small(saved(similar, "similar")), keys)
+    best = F.max_by(F.struct("start", "similarity", "m"), F.struct("similarity", -F.col("start")))
+    return placed.groupBy("doc_id", "row", "item_id").agg(best.alias("b")).select("doc_id", "row", "item_id", "b.start", (F.col("b.m") + width - 1).alias("n_words"), "b.similarity")
+
 
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS, least_words: int = 1) -> DataFrame:
+    """Per document and item it holds: doc_id, row (hash of the text), item_id, start and n_words (of the best window), similarity.
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
-    """Per document and item it holds: doc_id, row (hash of the text), item_id, start and n_words (of the best window), similarity."""
+    Items of fewer than `least_words` words are left out: a benchmark text of one word is in no document by leak."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    said = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates(["item_id", "w"])
+    said = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= max(1, least_words)).dropDuplicates(["item_id", "w"])
     out = None
     for width in [r["k"] for r in said.select(F.least(F.size("w"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]:
         own = said.where(F.least(F.size("w"), F.lit(SHINGLE)) == width).select("item_id", hashes(F.col("w"), width).alias("hashes"))
@@ -125,11 +122,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, start int, n_words int, similarity double")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; columns as given."""
-    found = saved(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "leaks")
-    row = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(small(found), docs["doc_id"].eqNullSafe(F.col("_id")) & (row == F.col("_row")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
+    """docs without those that hold an item of at least `least_words` words; columns as given."""
+    found = saved(leaks(docs, benchmark, least_words=least_words).select("doc_id", "row").distinct(), "leaks")
+    return without(docs, found, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ the verified winners, at most WINNERS rows, and are broadcast: rows of a hot gro
 remaining digests, each with few rows, go through an ordinary shuffle.
 
 Null text counts as empty; empty texts are equal to each other. Null ids come last; rows with equal text and equal id
-are all marked kept by `groups`, and `deduplicated` leaves one of them. An empty table gives an empty result.
+are all marked kept by `groups`, and `deduplicated` leaves one of them. An empty table gives an empty result. Other
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import SPACE, saved
+from platewise.llm.common import SPACE, fresh, saved, without
 
 WINNERS, TRACKED = 1024, 16384
 
@@ -24,34 +25,38 @@ def normalised(text: Column) -> Column:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256."""
-    digests = saved(docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256")), "digests")
-    frequent = digests.agg(F.expr(f"approx_top_k(h, {WINNERS}, {TRACKED})").alias("top")).select(F.explode("top.item").alias("h"))
+    """Per row: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256, row (hash of the normalised text)."""
+    text = normalised(F.col("text"))
+    digests = saved(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("row")), "digests")
+    frequent = digests.agg(F.expr(f"approx_top_k(row, {WINNERS}, {TRACKED})").alias("top")).select(F.explode("top.item").alias("row"))
     # whatever the sketch names is counted exactly, so its errors cost time, not results
-    winners = digests.join(F.broadcast(frequent), "h", "left_semi").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    each = F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    winners = digests.join(F.broadcast(frequent), "row", "left_semi").groupBy("text_sha256").agg(*each).where("group_size > 1")
     winners = saved(winners.orderBy(F.desc("group_size"), "text_sha256").limit(WINNERS), "winners")
     hot = digests.join(F.broadcast(winners), "text_sha256")
     rest = digests.join(F.broadcast(winners), "text_sha256", "left_anti")
-    each = Window.partitionBy("text_sha256")
-    rest = rest.withColumn("keep_id", F.min("doc_id").over(each)).withColumn("group_size", F.count("*").over(each))
-    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    # of the rest only minima and counts are grouped; single texts meet nothing
+    more = rest.groupBy("text_sha256").agg(*each).where("group_size > 1")
+    rest = rest.join(more, "text_sha256", "left")
+    single = F.col("group_size").isNull()
+    rest = rest.withColumn("keep_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
+    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row"]
     return hot.select(columns).unionByName(rest.select(columns))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a row with a smaller id has; columns as given."""
+    """docs without the rows whose text a row with a smaller id has; of rows of equal id and text one stays. Columns as given."""
     found = saved(groups(docs), "groups")
-    digest = F.sha2(normalised(F.col("text")), 256)
+    row = F.xxhash64(normalised(F.col("text")))
     # drop by (id, digest): ids may repeat with other texts
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    twice = found.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    marked = docs.withColumn("_digest", digest)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
-    kept = marked.join(dropped, same, "left_anti")
+    dropped = found.where(~F.col("kept")).select("doc_id", "row").distinct()
+    twice = saved(found.where("kept").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    kept = without(docs, dropped, row)
     if twice.isEmpty():
-        return kept.drop("_digest")
-    once = kept.join(twice, same, "left_anti").drop("_digest")
-    return once.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+        return kept
+    a, b, c = fresh(docs, "twice_id", "twice_row", "row_key")
+    again = kept.withColumn(c, row).join(twice.select(F.col("doc_id").alias(a), F.col("row").alias(b)), F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(c) == F.col(b)), "left_semi")
+    return without(kept, twice, row).unionByName(again.dropDuplicates(["doc_id", c]).drop(c))
 
 
 SQL = r"""

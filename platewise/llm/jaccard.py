@@ -7,26 +7,27 @@ multiplied: entries of one shingle meet, size bounds discard pairs, counts accum
 A shingle with more than WIDE entries links them in a chain by size instead: any two of fitting sizes are joined by the
 chain, so no candidate is lost, and what is emitted stays linear.
 What is connected so far is a candidate block; exact overlaps of whole sets are then products of incidence matrices
-within a block (large ones: between parts of at most PART documents, dealt over tasks), and only a spanning forest of
-the true links is kept.
+within a block (see `links` for wide ones), and only a spanning forest of the true links is kept.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. With fewer words than a shingle the whole sequence is one. Null or
-empty texts have no shingles and are linked with nothing. Rows are documents of their own, also if ids repeat; a row
-without id has no component and links nothing. An empty table gives no rows. Shingles are compared by 64-bit hashes.
+empty texts have no shingles and are linked with nothing. Rows are documents of their own, also if ids repeat: a class, not an
+id, is what links, and its smallest id names it. A row without id has no component and links nothing. An empty table
+gives no rows; other columns are ignored. Shingles, and classes, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import components, count_floor, saved
+from platewise.llm.common import components, count_floor, id_filter, passes, saved
 
-FREQUENT, WIDE, PART, SHARED = 1 << 18, 64, 512, 4
+FREQUENT, WIDE, PART, SHARED, PIVOTS = 1 << 18, 64, 512, 4, 8
 U = np.uint64
 
 
@@ -88,7 +89,7 @@ def frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, a 128-bit digest of the set (k1, k2), prefix (hashes)."""
+    """Per row: doc_id, row (hash of the text), n, a 128-bit digest of the set (k1, k2), prefix (hashes)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +111,9 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     t = int(needed(np.array(len(s)), percent))
                     prefixes.append(s[np.lexsort((s, df))[: len(s) - t + min(SHARED, t)]].view(np.int64))
                 keys = np.array(keys).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "row": part.column(2), "n": pa.array(n, pa.int64()), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, n long, k1 long, k2 long, prefix array<long>")
 
 
 def pairs_of(token: np.ndarray, doc: np.ndarray, n: np.ndarray, chained: bool, percent: int):
@@ -223,22 +224,29 @@ def forest(sets: list[np.ndarray], percent: int, columns: int = 4096) -> list[tu
     return edges
 
 
-def links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """True links (a, b) enough to connect what is linked within blocks (id, component)."""
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
-    parts = blocks.join(sizes, "component").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members (id: the class, rep: a row that has it) and hashes, the class's set.
+
+    Texts are hashed where they are; only rows that pass a filter of the members' ids go on to the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(members.select(F.xxhash64("rep").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
+            at = np.flatnonzero(passes(shared.value, batch.column(2).to_numpy()))
+            for k in range(0, len(at), 256):
+                part = batch.take(pa.array(at[k : k + 256]))
                 sets = [shingles(x.as_py(), words).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in (2, 3, 4)), pa.array(sets, pa.binary())], ["id", "component", "parts", "part", "hashes"])
+                ids = [int(np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)[0]) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["rep", "id", "hashes"])
 
-    chosen = docs.select("doc_id", "text").join(parts, F.col("doc_id") == F.col("id")).select("id", "text", "component", "parts", "part")
-    rows = chosen.mapInArrow(run, "id long, component long, parts int, part int, hashes binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = rows.select("id", "component", "part", "hashes", other).select("id", "component", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "hashes")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "rep long, id long, hashes binary")
+    return members.hint("merge").join(rows, ["id", "rep"])
+
+
+def product_of(percent: int):
+    """Of a group's rows (id, hashes): edges (a, b) of a forest of the links."""
 
     def product(group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
@@ -247,17 +255,66 @@ def links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataF
         edges = np.array(forest(sets, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": ids[first][edges[:, 0]], "b": ids[first][edges[:, 1]]})
 
-    return dealt.groupBy("component", "x", "y").applyInArrow(product, "a long, b long")
+    return product
+
+
+def links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataFrame:
+    """True links (a, b) enough to connect what is linked within blocks (id, component).
+
+    A block of at most PART classes is one product. A wider one is cut by size (sets that link lie in the same band of
+    sizes or the next) and then into parts. First each part is multiplied with itself and with a few pivots of the bands
+    about it. What that connects is mostly one large component of the block, its core; then only the classes outside the
+    core are multiplied with all parts of their bands. No pair of different components is left out.
+    """
+    sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
+    step = max(-math.log(percent / 100), 1e-9) * (1 + 1e-9)
+    members = blocks.join(sizes, "component").join(classes.select(F.col("k1").alias("id"), "rep", "n"), "id")
+    members = members.select("id", "rep", "component", (F.col("size") > PART).alias("wide"), F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("band"))
+    sets = saved(sets_of(docs, members, words), "sets")
+    product, edge = product_of(percent), "a long, b long"
+    found = saved(sets.where("NOT wide").select("component", "id", "hashes").groupBy("component").applyInArrow(product, edge), "narrow")
+    wide = sets.where("wide").drop("rep", "wide")
+    if wide.isEmpty():
+        return found
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+
+    def dealt(rows: DataFrame, counts: DataFrame, out: str) -> DataFrame:
+        """rows by the number (out) of a share of at most some PART of those of their (component, band)."""
+        return rows.join(counts, ["component", "band"]).withColumn(out, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    cells = saved(wide.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "cells")
+    all_parts = cells.select("component", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    parts = saved(dealt(wide, cells, "part"), "parts")
+    chosen = Window.partitionBy("component", "band").orderBy(F.xxhash64("id"), "id")
+    pivots = parts.select("component", "band", "id").withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= PIVOTS).select("id")
+    pivots = parts.join(pivots, "id", "left_semi").select("component", near, "id", "hashes").join(all_parts, ["component", "band"])
+    keys = ["component", "band", "part"]
+    first = saved(parts.unionByName(pivots).groupBy(*keys).applyInArrow(product, edge), "first")
+    label = saved(components(first, "first-links"), "labels")
+    labelled = parts.select("component", "band", "id").join(label.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    core = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", "n").alias("core"))
+    rest = saved(labelled.join(core, "component").where("label <> core").select("component", "band", "id"), "rest")
+    slices = saved(rest.groupBy("component", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "slices")
+    own = parts.join(rest.select("id"), "id", "left_semi").drop("part")
+    own = dealt(own, slices, "slice").withColumnRenamed("band", "of").select("component", "of", "slice", "id", "hashes", F.explode(F.sequence(F.col("of") - 1, F.col("of") + 1)).alias("band")).join(all_parts, ["component", "band"])
+    all_slices = slices.select("component", F.col("band").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), near)
+    against = parts.join(all_slices, ["component", "band"])
+    keys = ["component", "band", "part", "of", "slice"]
+    second = own.select(*keys, "id", "hashes").unionByName(against.select(*keys, "id", "hashes")).groupBy(*keys).applyInArrow(product, edge)
+    return found.unionByName(first).unionByName(saved(second, "second"))
 
 
 def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+    """Per row: doc_id, n_shingles, component_id, row (hash of the text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = saved(signatures(docs, words, percent), "signatures")
     classes = saved(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    entries = classes.select(F.explode("prefix").alias("token"), F.col("rep").alias("doc"), "n")
-    blocks = components(candidates(entries, percent), "blocks")
-    linked = components(links(docs, blocks, words, percent), "links")
-    of_class = classes.select("k1", "k2", "n", "rep").join(linked, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    rows = found.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    entries = classes.select(F.explode("prefix").alias("token"), F.col("k1").alias("doc"), "n")
+    blocks = saved(components(candidates(entries, percent), "blocks"), "blocks")
+    linked = components(links(docs, classes, blocks, words, percent), "links")
+    named = saved(classes.select(F.col("k1").alias("id"), "rep").join(linked, "id"), "named")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(lowest, "component").select(F.col("id").alias("k1"), "component_id")
+    of_class = classes.select("k1", "k2", "n", "rep").join(named, "k1", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    rows = found.select("doc_id", "row", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row")

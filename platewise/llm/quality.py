@@ -6,7 +6,8 @@ with an L1 penalty (proximal gradient) weighs rules and keeps few; rules and wei
 column. Scoring reads each row once and shuffles nothing.
 
 Rows of labels with null or other than 0 and 1 are ignored. Null text counts as empty, and empty texts get a score too.
-Without labels of both kinds the score is their rate, or 0.5. Repeated rows get equal scores.
+Without labels of both kinds the score is their rate, or 0.5. Repeated rows get equal scores. An empty table gives no rows;
+other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import held_out
+from platewise.llm.common import fresh, held_out
 
 SAMPLE, TREES, LEVELS, THRESHOLD = 20_000, 80, 3, 0.3
 
@@ -140,18 +141,21 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensembl
     marked = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0))
     marked = marked.groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     stats = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "quality", *[c.alias(n) for n, c in stats.items()])
-    data = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("row"), F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s"))
+    # an id that repeats counts once, with its text of the smallest hash
+    rows = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("s", "row").alias("s"))
+    data = rows.select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     return fitted(list(stats), data[list(stats)].to_numpy(float), (data["quality"].to_numpy(float) >= 0.5).astype(float))
 
 
 def scored(docs: DataFrame, model: Ensemble, out: str = "score") -> DataFrame:
-    """docs and their score. The statistics are computed in one pass before the rules read them."""
+    """docs and their score (in place of a column of that name). The statistics are computed in one pass before the rules read them."""
     stats = statistics(F.col("text"))
-    held = docs.withColumn("_stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
+    held, score = fresh(docs, "statistics", "score_of")
+    done = docs.withColumn(held, F.struct(*[c.alias(n) for n, c in stats.items()]))
     # a stage of its own: else each rule would compute its statistics again
-    held = held.withColumn("_s", F.get(F.transform(F.array("_stats"), lambda s: model.score({n: s[n] for n in stats})), F.lit(0)))
-    return held.drop("_stats").withColumnRenamed("_s", out)
+    done = done.withColumn(score, F.get(F.transform(F.array(held), lambda s: model.score({n: s[n] for n in stats})), F.lit(0))).drop(held)
+    return done.drop(out).withColumnRenamed(score, out)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -38,11 +38,11 @@ def op6_tiered_shards(spark, sf_dir):
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.joined(table(spark, sf_dir, "documents"))
+    return jaccard.joined(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op8_exact_dedup(spark, sf_dir):
-    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op9_url_templates(spark, sf_dir):

@@ -12,6 +12,7 @@ Null text counts as empty and gives the end id alone. Repeated rows are written
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,11 +20,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.llm.bpe import pieces_of
-from platewise.llm.common import new_path
+from platewise.llm.common import new_path, saved, small
 
 END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 1_000_000, 5, 2048, 24
 #: Words of which a worker process keeps the ids (some 100 MB).
@@ -111,6 +113,14 @@ class Block:
         return part[skip : skip + n]
 
 
+def cuts_words(tokenizer: str) -> bool:
+    """Whether ids of a text are those of its words: a byte-level pattern cut, nothing normalised, put before or after."""
+    kind = json.loads(tokenizer)
+    pre = kind.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return bool(plain and not kind.get("normalizer") and kind.get("model", {}).get("type") == "BPE" and not kind["model"].get("ignore_merges"))
+
+
 class Words:
     """A tokenizer, and the ids of words it met: a worker process keeps one, so that tasks need not start over."""
 
@@ -119,7 +129,8 @@ class Words:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
         self.coder = Tokenizer.from_str(tokenizer)
-        self.coder.encode_special_tokens = True
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        self.cuts = cuts_words(tokenizer)
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or line feed
         self.opens[[i for t, i in vocabulary.items() if t[:1] in SIGNS]] = True
@@ -140,7 +151,8 @@ class Words:
         """The library's ids of texts as 32-bit integers: distinct words once, texts that cannot be cut as a whole."""
         if len(self.seen) > ROOM:  # frequent words tend to come first: these stay
             self.seen = dict(islice(self.seen.items(), ROOM // 2))
-        cut = [pieces_of(x) for x in texts]
+        # a text with an added token in it, and any text of a vocabulary of another kind, goes to the library as a whole
+        cut = [pieces_of(x) if self.cuts and not any(t in x for t in self.added) else None for x in texts]
         self.learn(list(set().union(*(p[1:] for p in cut if p)).difference(self.seen)))
         whole = [self.ids(x if p is None else p[0]).tobytes() for x, p in zip(texts, cut, strict=True)]
         return [h + b"".join(map(self.seen.__getitem__, p[1:])) if p else h for h, p in zip(whole, cut, strict=True)]
@@ -153,20 +165,45 @@ def words_of(tokenizer: str) -> Words:
 
 
 SCHEMA = "shard int, block int, doc_id array<long>, n array<long>, ids binary"
+#: Bytes of text in a shard.
+SHARD = 64 << 20
+
+
+def bounds_of(docs: DataFrame, shards: int) -> list[int]:
+    """Ids that cut docs into about equal ranges, by a sketch of the id column alone."""
+    if shards < 2:
+        return []
+    sketch = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], max(10_000, 20 * shards)).alias("b")).first()
+    return sorted(set(sketch["b"] or []))
 
 
 def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int = END) -> DataFrame:
     """Write docs (doc_id, text) to folder and return the files' rows.
 
-    A row is a block: its documents in order, how many ids each has, and the block's bytes.
+    A row is a block: its documents in order, how many ids each has, and the block's bytes. Documents are encoded where
+    they are; what is dealt into shards are ids.
     """
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bounds = np.array(bounds_of(docs, shards), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = words_of(shared.value)
-        shard, block, names, parts, total = 0, 0, [], [], 0
+        small = max(coded.coder.get_vocab(with_added_tokens=True).values()) < 65536 and end < 65536
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in coded(part.column(1).to_pylist())]
+                places = pc.fill_null(part.column(0), np.iinfo(np.int64).min).to_numpy()
+                raw = [x.astype("<u2" if small else "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, places).astype(np.int32)), part.column(0), part.column(2), pa.array([2 if small else 4] * len(part), pa.int32()), pa.array(raw, pa.binary())], ["shard", "doc_id", "h", "width", "ids"])
+
+    ids = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encoded, "shard int, doc_id long, h long, width int, ids binary")
+    ordered = ids.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, block, names, parts, total = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             cells = [shard], [block], [names], [[len(p) for p in parts]], [Block.packed(np.concatenate(parts))]
@@ -174,16 +211,17 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["shard", "block", "doc_id", "n", "ids"])
 
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                shard = part.column(2)[0].as_py()
-                for x, ids in zip(part.column(0).to_pylist(), coded(part.column(1).to_pylist()), strict=True):
-                    names.append(x)
-                    parts.append(np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
-                    total += len(parts[-1])
-                    if total >= BLOCK:
+            for at, x, width, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if at != shard:
+                    if names:
                         yield flush()
-                        block, names, parts, total = block + 1, [], [], 0
+                    shard, block, names, parts, total = at, 0, [], [], 0
+                names.append(x)
+                parts.append(np.frombuffer(raw, "<u2" if width == 2 else "<u4"))
+                total += len(parts[-1])
+                if total >= BLOCK:
+                    yield flush()
+                    block, names, parts, total = block + 1, [], [], 0
         if names:
             yield flush()
 
@@ -193,10 +231,14 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
 
 def read_back(files: DataFrame) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit), by random access to its block."""
-    totals = files.select("shard", "block", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
-    # one row a block: a running sum over blocks, not documents
-    before = totals.select("shard", "block", (F.sum("size").over(Window.orderBy("shard", "block")) - F.col("size")).alias("before"))
-    placed = files.join(before, ["shard", "block"]).select("before", "doc_id", "n", "ids")
+    # one row a block; blocks are summed up within their shard, shards (one for SHARD bytes) on the driver
+    sizes = files.select("shard", "block", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
+    shards = sizes.groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").toArrow()
+    starts = shards.set_column(1, "first", pa.array(np.cumsum([0, *shards["size"].to_pylist()], dtype=np.int64)[:-1]))
+    within = F.sum("size").over(Window.partitionBy("shard").orderBy("block")) - F.col("size")
+    before = sizes.select("shard", "block", within.alias("within")).join(F.broadcast(files.sparkSession.createDataFrame(starts)), "shard")
+    before = before.select("shard", "block", (F.col("within") + F.col("first")).alias("before"))
+    placed = files.join(small(saved(before, "block-starts")), ["shard", "block"]).select("before", "doc_id", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,9 +252,15 @@ def read_back(files: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def shards_for(docs: DataFrame, least: int, size: int = SHARD) -> int:
+    """How many shards: one for `size` bytes of text, `least` at least."""
+    total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
+    return max(least, -(-total // size))
+
+
 def digest(docs: DataFrame, tokenizer: str, shards: int | None = None) -> DataFrame:
     """Per row, from the files: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    shards = shards or max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or shards_for(docs, 2 * spark.sparkContext.defaultParallelism)
     files = written(docs, tokenizer, new_path(spark, "ids"), shards)
     return read_back(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

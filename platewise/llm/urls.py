@@ -7,7 +7,7 @@ children of a node that has more than FAN of them, become a wildcard; sibling br
 not differ from their pool's (z of 1.96) are merged into it. A template's purity is its rate of blocked urls, smoothed
 towards the same template on all hosts, and that towards the rate of all labelled urls; LIMIT or more is rejected.
 
-All steps aggregate by (host, template) with partial sums; a hot host is never gathered. Repeated rows are judged alike.
+All steps aggregate by (host, template) with partial sums; of the children of one node, FAN at most meet in one place. Repeated rows are judged alike.
 An empty table gives no rows; without labelled urls every verdict is allow. Ids may be null; other columns are ignored.
 """
 
@@ -49,15 +49,21 @@ def templated(pages: DataFrame) -> DataFrame:
     for d in range(DEPTH):
         stem, own = F.array_join(F.slice("s", 1, d), "/"), F.get(F.col("s"), F.lit(d))
         nodes = shaped.where(F.size("s") > d).groupBy("host", stem.alias("stem"), own.alias("own")).agg(F.count("blocked").alias("n"), F.sum("blocked").alias("b"))
-        # counts per branch are few; wide nodes lose their names first, then branches like their pool do
+        nodes = saved(nodes, "nodes")
+        # wide nodes are told by partial counts and lose their children's names; a window has FAN rows at most
+        wide = saved(nodes.groupBy("host", "stem").agg(F.count("*").alias("fan")).where(F.col("fan") > FAN).select("host", "stem"), "wide")
         pool = Window.partitionBy("host", "stem")
+        nodes = nodes.join(wide, ["host", "stem"], "left_anti")
         nodes = nodes.select("host", "stem", "own", "n", F.coalesce("b", F.lit(0)).alias("b"), F.count("*").over(pool).alias("fan"), F.sum("n").over(pool).alias("pn"), F.sum(F.coalesce("b", F.lit(0))).over(pool).alias("pb"))
         rate = F.try_divide(F.col("pb"), F.col("pn"))
         z = F.try_divide(F.abs(F.try_divide(F.col("b"), F.col("n")) - rate), F.sqrt(rate * (1 - rate) / F.greatest("n", F.lit(1))))
         alike = (F.col("n") >= 5) & (F.coalesce(z, F.lit(0.0)) <= 1.96) & (F.col("fan") > 1)
-        merged = nodes.where((F.col("own") != "*") & ((F.col("fan") > FAN) | alike)).select(F.col("host").alias("_h"), F.col("stem").alias("_s"), F.col("own").alias("_o"), F.when(F.col("fan") > FAN, "*").otherwise("~").alias("_to"))
+        merged = nodes.where((F.col("own") != "*") & alike).select(F.col("host").alias("_h"), F.col("stem").alias("_s"), F.col("own").alias("_o"), F.lit("~").alias("_to"))
+        of_wide = wide.select(F.col("host").alias("_h2"), F.col("stem").alias("_s2"), F.lit("*").alias("_wide"))
         shaped = shaped.join(merged, (F.col("host") == F.col("_h")) & (stem == F.col("_s")) & (own == F.col("_o")), "left")
-        shaped = shaped.withColumn("s", F.when(F.col("_to").isNotNull(), F.concat(F.slice("s", 1, d), F.array("_to"), F.slice("s", d + 2, DEPTH + 1))).otherwise(F.col("s"))).drop("_h", "_s", "_o", "_to")
+        shaped = shaped.join(of_wide, (F.col("host") == F.col("_h2")) & (stem == F.col("_s2")) & own.isNotNull(), "left")
+        to = F.coalesce("_wide", "_to")
+        shaped = shaped.withColumn("s", F.when(to.isNotNull(), F.concat(F.slice("s", 1, d), F.array(to), F.slice("s", d + 2, DEPTH + 1))).otherwise(F.col("s"))).drop("_h", "_s", "_o", "_to", "_h2", "_s2", "_wide")
     return shaped.withColumn("template", F.array_join("s", "/")).drop("s")
 
 
