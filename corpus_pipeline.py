@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; the first four return the columns
 of documents, the last each document's ids.
+
+In every stage a null text counts as empty, an empty table gives an empty one, other columns stay as they are whatever
+their names, and rows of equal id and text are treated alike (exact_duplicates leaves one of them). Documents without
+text are scored like others; of those that stay, one is left by exact_duplicates, and the later stages keep it.
 """
 
 from __future__ import annotations
@@ -10,29 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import bpe, decontaminate, exact_dedup, jaccard, quality
-from platewise.llm.common import new_path, saved, table
+from platewise.llm.common import fresh, new_path, saved, table, without
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble (learned from their labelled rows) scores at the threshold or above."""
     model = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = fresh(docs, "quality_score")[0]
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id."""
+    """Of equal texts, the row with the smallest id; of rows of equal text and id, one."""
     return exact_dedup.deduplicated(docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity of 0.8), the document with the smallest id."""
-    found = saved(jaccard.joined(docs, words=5, percent=80).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near")
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8), the document with the smallest id.
+
+    Of texts that share that id, the one with the smallest hash stays. Documents without words, or without id, stay."""
+    found = saved(jaccard.joined(docs, words=5, percent=80).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near")
+    first = F.min(F.struct("doc_id", "row"))
+    best = found.groupBy("component_id").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1")
+    dropped = found.join(best, "component_id").where(F.struct("doc_id", "row") != F.col("best")).select("doc_id", "row").distinct()
+    return without(docs, saved(dropped, "near-dropped"), F.xxhash64("text"))
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark; items shorter than a shingle are no evidence and are left out."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), least_words=decontaminate.SHINGLE)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
