@@ -90,11 +90,15 @@ def count_floor(counts: DataFrame, column: str, most: int, least: int = 1) -> in
 HUBS = 1024
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: Edges that one task connects on its own: some 50 MB.
+LOCAL = 1 << 20
+
+
+def components(edges: DataFrame, name: str = "components", local: int = LOCAL) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), the smallest id that can be reached.
 
-    Alternating large-star and small-star steps; each task first makes stars of what its own edges connect, so that small
-    graphs take one round. Minima are partial aggregates; those of hubs (at most HUBS nodes with
+    Up to `local` distinct edges are connected by one task. More go through alternating large-star and small-star steps,
+    after each of which a task makes stars of what its own edges connect. Minima are partial aggregates; those of hubs (at most HUBS nodes with
     1 / HUBS of the edges each, and 64) are broadcast, so that a hub's neighbours stay where they are. Each round's table
     is written to the shared folder and the one before removed.
     """
@@ -110,27 +114,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hubs = F.broadcast(spark.createDataFrame(hubs))
         return rows.join(hubs, "a").unionByName(rows.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= floor).drop("n"), "a"))
 
+    def oriented(rows: DataFrame) -> DataFrame:
+        return rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
     def stars(rows: DataFrame) -> DataFrame:
-        oriented = rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return saved(oriented.mapInArrow(contracted, "a long, b long"), name)
+        return saved(rows.mapInArrow(lambda batches: contracted(batches, local), "a long, b long"), name)
 
-    edges = stars(edges)
+    edges = saved(oriented(edges), name)
     while True:
-        total, tops = edges.agg(F.count("*"), F.countDistinct("a")).first()
-        parents = edges.select("b").distinct()
-        if total == tops and edges.join(parents.withColumnRenamed("b", "a"), "a", "left_semi").isEmpty():
+        before, total = edges, edges.count()
+        if total <= local:
+            edges = stars(edges.coalesce(1))
+            discarded(before)
+            break
+        parents = edges.select(F.col("b").alias("a")).distinct()
+        if total == edges.select("a").distinct().count() and edges.join(parents, "a", "left_semi").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = lowest(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         small = lowest(large, total)
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        before, edges = edges, stars(small)
+        edges = stars(oriented(small))
         discarded(before)
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b), some `most` at a time, as stars: each node with the smallest that these edges lead to."""
 
     def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -117,6 +117,77 @@ def test_jaccard_wide_groups():
     assert sorted(tuple(sorted(e)) for e in edges) == [(i, i + 40) for i in range(10)]
 
 
+def test_components(spark):
+    """A chain, a hub of 5,000 nodes and small groups: by one task, and by rounds over many."""
+    from platewise.llm.common import components
+
+    rng = np.random.default_rng(0)
+    pairs = [(i, i + 1) for i in range(500)] + [(100_000, i) for i in range(6000, 11_000)] + [(7, 6000)] + rng.integers(200_000, 200_400, (150, 2)).tolist()
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    expected = {x: top(x) for a, b in pairs if a != b for x in (a, b)}
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long").repartition(8)
+    for local in (1 << 20, 64):
+        assert dict(map(tuple, components(edges, local=local).collect())) == expected
+
+
+def linked(rows, n, percent):
+    """doc_id, size of the set and component of each row, by comparing all pairs of rows."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(set() if not w else {tuple(w)} if len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and rows[a][0] is not None and rows[b][0] is not None:
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i) if i is not None else None
+    return sorted(((i, len(sets[k]), least[top(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_jaccard_wide_blocks(spark, monkeypatch):
+    """Near copies of one text, more or less edited and cut: blocks of many parts and bands, chains, several cores."""
+    rng = np.random.default_rng(1)
+    base, rows = rng.choice(WORDS, 120).tolist(), []
+    for i in range(300):
+        w = list(base)
+        for k in rng.integers(0, len(w), int(rng.integers(0, 9))):
+            w[k] = f"n{rng.integers(0, 50)}"
+        rows.append((i, " ".join(w[: len(w) - int(rng.integers(0, 30)) * (i % 3 == 0)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = linked(rows, 3, 90)
+    assert len({c for _, _, c in expected}) > 50
+    for part, wide in ((40, 8), (512, 64)):
+        monkeypatch.setattr(jaccard, "PART", part)
+        monkeypatch.setattr(jaccard, "WIDE", wide)
+        assert sorted((tuple(r)[:3] for r in jaccard.joined(frame).collect()), key=repr) == expected
+
+
+def test_jaccard_ids_that_repeat(spark):
+    a, b = said(50, 40), said(51, 40)
+    rows = [(1, f"{a} x"), (2, f"{b} x"), (5, a), (5, b), (None, a), (9, None), (9, ""), (5, a)]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=repr) == sorted([(1, 39, 1), (2, 39, 2), (5, 38, 1), (5, 38, 2), (None, 38, None), (9, 0, 9), (9, 0, 9), (5, 38, 1)], key=repr)
+
+
 def test_decontamination(spark, docs, none):
     item = said(9, 30).split()
     edited = item[:14] + ["new"] + item[15:]
