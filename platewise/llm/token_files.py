@@ -16,7 +16,6 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.bpe import pieces_of
 from platewise.llm.common import new_path, saved, small
 
 END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 1_000_000, 5, 2048, 24
@@ -121,8 +119,14 @@ def cuts_words(tokenizer: str) -> bool:
     return bool(plain and not kind.get("normalizer") and kind.get("model", {}).get("type") == "BPE" and not kind["model"].get("ignore_merges"))
 
 
+#: White space other than a single space or line feed between words, or a NUL: such a text is not cut into words.
+WHOLE = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
+
+
 class Words:
-    """A tokenizer, and the ids of words it met: a worker process keeps one, so that tasks need not start over."""
+    """A tokenizer, and the ids of words it met: a worker process keeps one, so that tasks need not start over.
+
+    The ids of word k are pool[start[k] : start[k] + size[k]]; a text's ids are gathered from there."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -132,9 +136,14 @@ class Words:
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.cuts = cuts_words(tokenizer)
         vocabulary = self.coder.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space or line feed
+        self.top = max(vocabulary.values())
+        self.opens = np.zeros(self.top + 1, bool)  # ids that begin with a space or line feed
         self.opens[[i for t, i in vocabulary.items() if t[:1] in SIGNS]] = True
-        self.seen: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.pool, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -144,18 +153,46 @@ class Words:
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
             ids = self.ids("".join([x.replace("\x00", "\n") if x[:1] == "\x00" else " " + x for x in part]))
-            raw, at = ids.tobytes(), (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
-            self.seen.update((x, raw[i:j]) for x, i, j in zip(part, at, at[1:], strict=False))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of texts as 32-bit integers: distinct words once, texts that cannot be cut as a whole."""
-        if len(self.seen) > ROOM:  # frequent words tend to come first: these stay
-            self.seen = dict(islice(self.seen.items(), ROOM // 2))
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part):
+                raise ValueError("this vocabulary has words that do not open with a space or line feed")
+            self.seen.update(zip(part, range(len(self.seen), len(self.seen) + len(part)), strict=True))
+            self.pool.append(ids)
+            self.size.append(np.diff(np.append(at, len(ids))))
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of texts, each with the end id after it, one after another; how many each has."""
+        texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         # a text with an added token in it, and any text of a vocabulary of another kind, goes to the library as a whole
-        cut = [pieces_of(x) if self.cuts and not any(t in x for t in self.added) else None for x in texts]
-        self.learn(list(set().union(*(p[1:] for p in cut if p)).difference(self.seen)))
-        whole = [self.ids(x if p is None else p[0]).tobytes() for x, p in zip(texts, cut, strict=True)]
-        return [h + b"".join(map(self.seen.__getitem__, p[1:])) if p else h for h, p in zip(whole, cut, strict=True)]
+        whole = pc.match_substring_regex(texts, WHOLE) if self.cuts else pa.array([True] * len(texts))
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \x00"), " ")
+        offsets, values = cut.offsets.to_numpy(), cut.values
+        first = np.zeros(len(values), bool)
+        first[offsets[:-1]] = True
+        coded = values.filter(pa.array(~first)).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.seen) > ROOM:
+            self.forget()
+        self.learn([w for w in words if w not in self.seen])
+        heads = pc.if_else(whole, texts, values.filter(pa.array(first))).to_pylist()
+        own = [self.ids(x) if x else np.zeros(0, np.uint32) for x in heads]
+        # entries: the words known, these heads, the end
+        self.pool, self.size = [np.concatenate(self.pool)], [np.concatenate(self.size)]
+        known = len(self.size[0])
+        pool = np.concatenate([self.pool[0], *own, np.array([end], np.uint32)])
+        size = np.concatenate([self.size[0], np.array([len(x) for x in own], np.int64), [1]])
+        start = np.cumsum(size) - size
+        entry = np.empty(len(values), np.int64)
+        entry[first] = known + np.arange(len(texts))
+        entry[~first] = np.fromiter((self.seen[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else 0
+        entry = np.insert(entry, offsets[1:], len(size) - 1)
+        long = size[entry]
+        at = np.repeat((start[entry] - (np.cumsum(long) - long)).astype(np.int32), long)
+        at += np.arange(len(at), dtype=np.int32)
+        sizes = np.add.reduceat(long, offsets[:-1] + np.arange(len(texts))) if len(texts) else np.zeros(0, np.int64)
+        return pool[at], sizes
 
 
 @lru_cache(maxsize=1)
@@ -165,6 +202,8 @@ def words_of(tokenizer: str) -> Words:
 
 
 SCHEMA = "shard int, block int, doc_id array<long>, n array<long>, ids binary"
+#: Bytes of text that are encoded together.
+PIECE = 8_000_000
 #: Bytes of text in a shard.
 SHARD = 64 << 20
 
@@ -190,14 +229,20 @@ def written(docs: DataFrame, tokenizer: str, folder: str, shards: int, end: int
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = words_of(shared.value)
-        small = max(coded.coder.get_vocab(with_added_tokens=True).values()) < 65536 and end < 65536
+        kind = "<u2" if max(coded.top, end) < 65536 else "<u4"
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in coded(part.column(1).to_pylist())]
+            long = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(long) // PIECE)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not len(part):
+                    continue
+                ids, sizes = coded(part.column(1), end)
                 places = pc.fill_null(part.column(0), np.iinfo(np.int64).min).to_numpy()
-                raw = [x.astype("<u2" if small else "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, places).astype(np.int32)), part.column(0), part.column(2), pa.array([2 if small else 4] * len(part), pa.int32()), pa.array(raw, pa.binary())], ["shard", "doc_id", "h", "width", "ids"])
+                ids, width = ids.astype(kind), np.dtype(kind).itemsize
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64) * width
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, places).astype(np.int32)), part.column(0), part.column(2), pa.array(np.full(len(part), width, np.int32)), raw], ["shard", "doc_id", "h", "width", "ids"])
 
     ids = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encoded, "shard int, doc_id long, h long, width int, ids binary")
     ordered = ids.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "h")
@@ -246,7 +291,10 @@ def read_back(files: DataFrame) -> DataFrame:
                 block, sizes = Block(raw), np.array(sizes, np.int64)
                 starts = np.cumsum(sizes) - sizes
                 for k in range(0, len(names), 512):
-                    ids = [block.read(s, n).astype("<u4").tobytes() for s, n in zip(starts[k : k + 512].tolist(), sizes[k : k + 512].tolist(), strict=True)]
+                    # documents in a row are one stretch of the block
+                    part = block.read(int(starts[k]), int(sizes[k : k + 512].sum())).astype("<u4").tobytes()
+                    cuts = 4 * (starts[k : k + 513] - starts[k]) if k + 512 < len(names) else 4 * (np.append(starts[k:], sizes.sum()) - starts[k])
+                    ids = [part[i:j] for i, j in zip(cuts.tolist(), cuts.tolist()[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 512], pa.int64()), pa.array(starts[k : k + 512] + before), pa.array(sizes[k : k + 512]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

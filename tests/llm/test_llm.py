@@ -73,6 +73,28 @@ def test_token_files(docs, none):
     assert token_files.digest(none, path, 3).collect() == []
 
 
+def test_token_files_follow_the_library(spark):
+    """Added tokens in texts, white space of all kinds, long words, null and repeated ids: ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "a\n\nb", " lead", "trail ", "a\u00a0b", "a\tb", "a\u3000b c", "one\ntwo three", "n\x00ul", "é ß日本 ok", "y" * 20_000, "", None, "it's  we'll", "a\x1cb", "\u2028"]
+    rng = np.random.default_rng(0)
+    texts += ["".join(rng.choice(list("ab \n\té<|>endoftx'1."), 60)) for _ in range(300)]
+    rows = [(int(i) if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, "a"), (3, "a"), (3, "b")]
+    got = sorted(map(tuple, token_files.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, 4).collect()), key=lambda r: r[1])
+    expected, start = Counter(), 0
+    for i, t in rows:
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expected[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((i, n, c) for i, _, n, c in got) == expected
+    assert [(-1 if r[0] is None else r[0]) for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    for _, at, n, _ in got:
+        assert at == start
+        start += n
+
+
 def test_repair_random_access():
     ids = np.random.default_rng(0).choice(50, 20_000, p=np.r_[0.5, np.full(49, 0.5 / 49)])
     block = token_files.Block(token_files.Block.packed(ids))
