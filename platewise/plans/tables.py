@@ -81,7 +81,7 @@ def guarded_pivot(spark, sf_dir):
     return out.select("o_custkey", *[F.round(c, 2).alias(c.lower()) for c in ("F", "O", "P")])
 
 
-@query("unit_conflict_lists", "SELECT p_name, list_sort(list(DISTINCT p_type)) AS u, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS units FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1".replace("list_sort(list(DISTINCT p_type)) AS u, ", ""))
+@query("unit_conflict_lists", "SELECT p_name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS units FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
 def unit_conflict_lists(spark, sf_dir):
     return T.conflicts(read(spark, sf_dir, "part"), "p_name", "p_type").select("p_name", F.array_join("units", ",").alias("units"))
 
