@@ -305,7 +305,8 @@ def links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int, pe
 
 
 def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, row (hash of the text)."""
+    """Per row: doc_id, n_shingles, component_id, row (hash of the text), component (a key: where ids repeat, two
+    components may have one smallest id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = saved(signatures(docs, words, percent), "signatures")
     classes = saved(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
@@ -314,7 +315,7 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     linked = components(links(docs, classes, blocks, words, percent), "links")
     named = saved(classes.select(F.col("k1").alias("id"), "rep").join(linked, "id"), "named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "component").select(F.col("id").alias("k1"), "component_id")
-    of_class = classes.select("k1", "k2", "n", "rep").join(named, "k1", "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    named = named.join(lowest, "component").select(F.col("id").alias("k1"), "component", "component_id")
+    of_class = classes.select("k1", "k2", "n", "rep").join(named, "k1", "left").select("k1", "k2", "n", F.coalesce("component", "k1").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
     rows = found.select("doc_id", "row", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row", "component")

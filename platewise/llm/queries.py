@@ -38,7 +38,7 @@ def op6_tiered_shards(spark, sf_dir):
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.joined(table(spark, sf_dir, "documents")).drop("row")
+    return jaccard.joined(table(spark, sf_dir, "documents")).drop("row", "component")
 
 
 def op8_exact_dedup(spark, sf_dir):
