@@ -35,8 +35,8 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of texts that share that id, the one with the smallest hash stays. Documents without words, or without id, stay."""
     found = saved(jaccard.joined(docs, words=5, percent=80).where("n_shingles > 0 AND doc_id IS NOT NULL"), "near")
     first = F.min(F.struct("doc_id", "row"))
-    best = found.groupBy("component_id").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1")
-    dropped = found.join(best, "component_id").where(F.struct("doc_id", "row") != F.col("best")).select("doc_id", "row").distinct()
+    best = found.groupBy("component").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1")
+    dropped = found.join(best, "component").where(F.struct("doc_id", "row") != F.col("best")).select("doc_id", "row").distinct()
     return without(docs, saved(dropped, "near-dropped"), F.xxhash64("text"))
 
 
@@ -54,7 +54,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("exact_duplicates", distinct), ("near_duplicates", unlike), ("benchmark_leaks", unleaked), ("token_ids", encoded)]
 
-#: Neither the classifier nor the token ids can be said in SQL; tests hold each stage against brute force.
+#: Neither the classifier nor the token ids can be said in SQL; tests hold stages and the whole run against plain Python.
 ORACLE_SQL = None
 
 
