@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from platewise.llm.common import new_path, saved, small
 
 END, BLOCK, ROUNDS, PAIRS, LEAST = 0, 1_000_000, 5, 2048, 24
-#: Words of which a worker process keeps the ids (some 50 MB).
-ROOM = 300_000
+#: Words of which a worker process keeps the ids (some 100 MB).
+ROOM = 600_000
 #: How a byte-level vocabulary writes the bytes of a space and a line feed.
 SIGNS = ("\u0120", "\u010a")
 
@@ -203,7 +203,7 @@ def words_of(tokenizer: str) -> Words:
 
 SCHEMA = "shard int, block int, doc_id array<long>, n array<long>, ids binary"
 #: Bytes of text that are encoded together.
-PIECE = 4_000_000
+PIECE = 8_000_000
 #: Bytes of text in a shard.
 SHARD = 32 << 20
 
