@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what runs here go as soon as it ends, not when the driver's garbage is next collected."""
+    before = spark.conf.get(name := "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there and a lost executor loses nothing."""
+    """df written to the shared folder and read again: its lineage ends there and a lost executor loses nothing. The
+    table replaces its shuffle files, which are removed."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
+    with shuffles_removed(spark):
+        df.write.parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

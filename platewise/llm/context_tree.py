@@ -61,8 +61,14 @@ def coded(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return [(keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64))]
+    """Sorted keys and their counts, as one such pair."""
+    keys, counts = (np.concatenate([x[i] for x in held]) for i in range(2))
+    if not len(keys):
+        return [(keys, counts)]
+    order = np.argsort(keys, kind="stable")  # a merge, as runs are sorted
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return [(keys[first], np.add.reduceat(counts[order], first))]
 
 
 def sequences(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
