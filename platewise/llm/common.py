@@ -47,12 +47,12 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and a lost executor loses nothing. The
     table replaces its shuffle files, which are removed."""
     spark = df.sparkSession
     with shuffles_removed(spark):
-        df.write.parquet(path := new_path(spark, name))
+        df.write.option("compression", codec).parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import count_floor, held_out, saved
+from platewise.llm.common import count_floor, discarded, held_out, saved, shuffles_removed
 
 DEPTH, OPEN, FREQUENT = 5, 2, 1 << 18
 END, CHUNK = 10, 4_000_000
 #: Bytes of text that are scored together; distinct sequences that are weighed in one task.
 GROUP, PART = 16_000_000, 1_000_000
 LOW = 2
+#: Of tables in the shared folder: texts and sorted sequences take about half of what faster codecs leave.
+CODEC = "zstd"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -89,7 +91,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             size = int(sizes[-1]) if len(sizes) else size
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + sizes // GROUP)], ["doc_id", "text", "held_out", "group"])
 
-    return saved(docs.mapInArrow(run, "doc_id long, text string, held_out boolean, group long"), "texts")
+    return saved(docs.mapInArrow(run, "doc_id long, text string, held_out boolean, group long"), "texts", CODEC)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -326,24 +328,29 @@ def sequence_logs(grams: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(values[i : i + 100_000].astype(np.float32))], ["key", "log"])
 
     sums = np.zeros((5, 1 << 16))
-    nodes = dealt.mapInArrow(up, "node long, a double, b double, c double, d double, e double").groupBy("node").agg(*[F.sum(x).alias(x) for x in "abcde"]).toArrow()
+    with shuffles_removed(grams.sparkSession):
+        nodes = dealt.mapInArrow(up, "node long, a double, b double, c double, d double, e double").groupBy("node").agg(*[F.sum(x).alias(x) for x in "abcde"]).toArrow()
     sums[:, nodes["node"].to_numpy()] = [nodes[x].to_numpy() for x in "abcde"]
     shared = context.broadcast(Top(*sums))
-    return dealt.mapInArrow(down, "key long, log float")
+    return saved(dealt.mapInArrow(down, "key long, log float"), "logs", CODEC)
 
 
 def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length). Learns from rows not held out."""
     spark = docs.sparkSession
     docs = grouped(docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), 1).alias("held_out")))
-    counts = saved(counted(docs), "counts")
+    counts = saved(counted(docs), "counts", CODEC)
     words = saved(counts.where("kind = 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")), "words")
     texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     n, v = words.agg(F.sum("c"), F.count("*")).first()
     n, v = (n or 0) + texts, v + (texts > 0)
     met = counts.where("kind = 1").select("group", "key")
-    logs = sequence_logs(saved(counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "sequences"))
-    values = met.join(logs, "key").select("group", "key", "log")
+    grams = saved(counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "sequences", CODEC)
+    logs = sequence_logs(grams)
+    discarded(grams)
+    values = saved(met.join(logs, "key").select("group", "key", "log"), "values", CODEC)
+    discarded(counts)
+    discarded(logs)
     floor = count_floor(words, "c", frequent, 2)
     top = words.where(F.col("c") >= floor).toArrow()
     h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy()
@@ -386,7 +393,9 @@ def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
         return pa.Table.from_batches(out)
 
     rows = docs.groupBy("group").cogroup(values.groupBy("group")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rare array<long>, times array<int>")
-    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scores", CODEC)
+    discarded(docs)
+    discarded(values)
     rare = rows.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("t"))))
     found = rare.join(words, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"))
     below = math.log10(n + 0.5 * (v + 1))
