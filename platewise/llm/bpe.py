@@ -68,6 +68,10 @@ class Ranks:
         place = np.where(inside, place, 0)
         return np.where(inside & (self.owner[place] == a), self.value[place], NONE)
 
+    def joined(self, ids: bytes | None) -> bytes:
+        """The bytes that ids (little-endian unsigned 32-bit integers) stand for."""
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
     def fold_many(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct words, as little-endian unsigned 32-bit integers."""
         out: dict[bytes, bytes] = {}
@@ -78,7 +82,7 @@ class Ranks:
             if n > LONG:
                 out.update((w, self._fold_long(w)) for w in group)
                 continue
-            for k in range(0, len(group), step := max(1, 4_000_000 // max(1, n * n))):
+            for k in range(0, len(group), step := max(1, 1_000_000 // max(1, n * n))):
                 part = group[k : k + step]
                 out.update(zip(part, self._fold_matrix(part, n), strict=True))
         return out
@@ -238,7 +242,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of some MB of texts at most."""
+        """The ids of a MB of texts, or of one longer text."""
         cut = [pieces_of(x or "") for x in texts]
         if len(self.pieces) > self.ROOM:
             self.pieces = {}
@@ -254,7 +258,7 @@ class Encoder:
         return [ids(words) + b"".join(map(seen.__getitem__, p[1:])) if p else ids(words) for p, words in zip(cut, whole, strict=True)]
 
 
-def portions(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str | None]]:
+def portions(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
     """texts in lists of about `size` characters; a longer text stands alone."""
     part, n = [], 0
     for x in texts:
@@ -267,12 +271,17 @@ def portions(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[st
         yield part
 
 
-def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids", most: int = DICTIONARY) -> DataFrame:
-    """docs with the ids (binary: little-endian unsigned 32-bit integers) of each text."""
+def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids", most: int = DICTIONARY, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with the ids (binary: little-endian unsigned 32-bit integers) of each text.
+
+    decoded: a column of the bytes that the ids stand for, joined in the same task, so that ids need no second one."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vars(ranks), dictionary(docs, ranks, text, most)))
-    place = docs.columns.index(text)
-    fields = StructType([*docs.schema.fields, StructField(out, BinaryType())])
+    kept = docs.columns if keep is None else keep
+    docs = docs if keep is None else docs.select(*keep, *({text} - set(keep)))
+    place, width = docs.columns.index(text), len(kept)
+    new = [StructField(n, BinaryType()) for n in (out, decoded) if n]
+    fields = StructType([*docs.schema.fields[:width], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, known = shared.value
@@ -283,7 +292,8 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids",
             for k in range(0, len(batch), 1024):
                 part = batch.slice(k, 1024)
                 ids = [x for texts in portions(part.column(place).to_pylist()) for x in encoder(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, out])
+                made = [pa.array(ids, pa.binary())] + ([pa.array(list(map(ranks.joined, ids)), pa.binary())] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], [*kept, *(f.name for f in new)])
 
     return docs.mapInArrow(run, fields)
 
@@ -294,11 +304,12 @@ def decode(docs: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "bytes")
     place, fields = docs.columns.index(ids), StructType([*docs.schema.fields, StructField(out, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        ranks = Ranks.__new__(Ranks)
+        ranks.pieces = shared.value
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                raw = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(place).to_pylist()]
+                raw = list(map(ranks.joined, part.column(place).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
 
     return docs.mapInArrow(run, fields)
@@ -306,6 +317,5 @@ def decode(docs: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "bytes")
 
 def digest(docs: DataFrame, ranks: Ranks, most: int = DICTIONARY) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids = encode(docs.select("doc_id", "text"), ranks, most=most).select("doc_id", "ids")
-    done = decode(ids, ranks)
+    done = encode(docs.select("doc_id", "text"), ranks, most=most, keep=["doc_id"], decoded="bytes")
     return done.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
