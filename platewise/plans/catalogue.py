@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _loaded() -> dict[str, tuple]:
-    from platewise.plans import alignment, domain, foods, names, nutrition, ranking, relational, tables, tasks  # noqa: F401
+    from platewise.plans import alignment, domain, foods, generation, names, nutrition, ranking, relational, tables, tasks  # noqa: F401
 
     return REGISTRY
 
