@@ -123,7 +123,7 @@ def attempts(lines: Column, key: Column, limits: Column, foods: Column, servings
                     limit.alias("limit"), severity.alias("severity"), F.when(violated, new).otherwise(lines).alias("lines"),
                 )
 
-            return let(F.get(measures(nutrition(new, servings), servings), k["i"]), result)
+            return let(let(nutrition(new, servings), lambda p: F.get(measures(p, servings), k["i"])), result)
 
         def changed(at: Column) -> Column:
             more = F.concat(lines, F.array(line(k["item"], k["grams"] * factor, F.try_element_at(foods, k["item"]))))
