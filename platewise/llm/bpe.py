@@ -12,15 +12,16 @@ Null text counts as empty and has no ids. Repeated rows each get a row. Other co
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from platewise.llm.common import constant, count_floor, let, saved
 
@@ -233,7 +234,7 @@ def pieces_of(text: str) -> list[str] | None:
 class Encoder:
     """Texts to ids, in one task: `known` words by look-up, others folded once and kept while there is room."""
 
-    ROOM = 400_000
+    ROOM = 200_000
 
     def __init__(self, ranks: Ranks, known: dict[str, bytes]):
         import regex
@@ -271,17 +272,16 @@ def portions(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[st
         yield part
 
 
-def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids", most: int = DICTIONARY, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with the ids (binary: little-endian unsigned 32-bit integers) of each text.
+def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids", most: int = DICTIONARY) -> DataFrame:
+    """docs with the ids (binary: little-endian unsigned 32-bit integers) of each text."""
+    return _encoded(docs, ranks, text, most, docs.columns, [StructField(out, BinaryType())], lambda _, ids: [pa.array(ids, pa.binary())])
 
-    decoded: a column of the bytes that the ids stand for, joined in the same task, so that ids need no second one."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vars(ranks), dictionary(docs, ranks, text, most)))
-    kept = docs.columns if keep is None else keep
-    docs = docs if keep is None else docs.select(*keep, *({text} - set(keep)))
+
+def _encoded(docs: DataFrame, ranks: Ranks, text: str, most: int, kept: list[str], new: list[StructField], made: Callable[[Ranks, list[bytes]], list[pa.Array]]) -> DataFrame:
+    """The first columns of docs, `kept`, with those that `made` gives for the ranks and the ids of some texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((vars(ranks), dictionary(docs, ranks, text, most)))
     place, width = docs.columns.index(text), len(kept)
-    new = [StructField(n, BinaryType()) for n in (out, decoded) if n]
-    fields = StructType([*docs.schema.fields[:width], *new])
+    names, fields = [*kept, *(f.name for f in new)], StructType([*docs.schema.fields[:width], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, known = shared.value
@@ -289,11 +289,11 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids",
         vars(ranks).update(state)
         encoder = Encoder(ranks, known)
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
                 ids = [x for texts in portions(part.column(place).to_pylist()) for x in encoder(texts)]
-                made = [pa.array(ids, pa.binary())] + ([pa.array(list(map(ranks.joined, ids)), pa.binary())] if decoded else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made], [*kept, *(f.name for f in new)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made(ranks, ids)], names)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, fields)
 
@@ -316,6 +316,11 @@ def decode(docs: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "bytes")
 
 
 def digest(docs: DataFrame, ranks: Ranks, most: int = DICTIONARY) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    done = encode(docs.select("doc_id", "text"), ranks, most=most, keep=["doc_id"], decoded="bytes")
-    return done.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are decoded and hashed in the task that made them."""
+
+    def hashed(ranks: Ranks, ids: list[bytes]) -> list[pa.Array]:
+        sha = [[hashlib.sha256(x).hexdigest() for x in each] for each in (ids, map(ranks.joined, ids))]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sha)]
+
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return _encoded(docs.select("doc_id", "text"), ranks, "text", most, ["doc_id"], fields, hashed)
