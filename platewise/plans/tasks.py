@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from platewise.plans.both import both
+from platewise.operators import ngrams
+from platewise.plans.both import both, doubles
+from platewise.plans.catalogue import query
+from platewise.sources.tables import read
 
-# Each document against the one with the next id: n-grams are counted once, matches are a join on (id, order, gram).
+# Each document against the one with the next id; ngrams.next_matches gives t.
 _GRAMS = ("WITH w AS (SELECT doc_id, {split} AS w FROM documents), g AS (SELECT doc_id, n, gram, count(*) AS c FROM ("
           + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, {{g{n}}} AS gram FROM w" for n in (1, 2, 3, 4))
           + """) x GROUP BY 1, 2, 3), m AS (SELECT a.doc_id, a.n, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON b.doc_id = a.doc_id + 1 AND b.n = a.n AND b.gram = a.gram GROUP BY 1, 2),
  l AS (SELECT a.doc_id, {size}(a.w) AS h, {size}(b.w) AS r FROM w a JOIN w b ON b.doc_id = a.doc_id + 1),
  t AS (SELECT l.doc_id, h, r, """ + ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN m END), 0) AS m{n}" for n in (1, 2, 3, 4)) + " FROM l LEFT JOIN m ON m.doc_id = l.doc_id GROUP BY 1, 2, 3)")
-_FORMS = {"split": ("split(coalesce(text, ''), ' ')", "string_split(coalesce(text, ''), ' ')"), "size": ("size", "len")} | {
-    f"g{n}": (
-        f"explode(CASE WHEN size(w) >= {n} THEN transform(sequence(0, greatest(size(w) - {n}, 0)), i -> array_join(slice(w, i + 1, {n}), ' ')) END)",
-        f"unnest(list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))",
-    )
-    for n in (1, 2, 3, 4)
+_FORMS = {"{split}": "string_split(coalesce(text, ''), ' ')", "{size}": "len"} | {
+    f"{{g{n}}}": f"unnest(list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))" for n in ngrams.ORDERS
 }
 # an order without a match counts 0.1 of one
 _PRECISIONS = " + ".join(f"ln(CASE WHEN m{n} > 0 THEN m{n} * 1.0 ELSE 0.1 END / greatest(h - {n - 1}, 1))" for n in (1, 2, 3, 4))
 
-both("bleu", f"""{_GRAMS} SELECT doc_id, round(CASE WHEN m1 = 0 THEN 0.0 ELSE exp(({_PRECISIONS}) / 4.0) * CASE WHEN h > r THEN 1.0 ELSE exp(1 - r * 1.0 / h) END END, 6) AS bleu FROM t""", **_FORMS)
-both("bleu_by_order", f"{_GRAMS} SELECT doc_id, " + ", ".join(f"round(m{n} * 1.0 / greatest(h - {n - 1}, 1), 6) AS p{n}" for n in (1, 2, 3, 4)) + " FROM t", **_FORMS)
-both("ngram_overlap_rouge12", f"{_GRAMS} SELECT doc_id, round(2.0 * m1 / (h + r), 6) AS rouge_1, round(2.0 * m2 / greatest(h + r - 2, 1), 6) AS rouge_2 FROM t", **_FORMS)
+
+
+def _against_next(name: str, select: str) -> None:
+    """Register select over t: each document's counts of words and matches with the next one."""
+    sql = f"{_GRAMS} {select}"
+    for word, form in _FORMS.items():
+        sql = sql.replace(word, form)
+    query(name, sql)(lambda spark, sf_dir: spark.sql(doubles(select).replace("FROM t", "FROM {t}"), t=ngrams.next_matches(read(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
+_against_next("bleu", f"""SELECT doc_id, round(CASE WHEN m1 = 0 THEN 0.0 ELSE exp(({_PRECISIONS}) / 4.0) * CASE WHEN h > r THEN 1.0 ELSE exp(1 - r * 1.0 / h) END END, 6) AS bleu FROM t""")
+_against_next("bleu_by_order", "SELECT doc_id, " + ", ".join(f"round(m{n} * 1.0 / greatest(h - {n - 1}, 1), 6) AS p{n}" for n in (1, 2, 3, 4)) + " FROM t")
+_against_next("ngram_overlap_rouge12", "SELECT doc_id, round(2.0 * m1 / (h + r), 6) AS rouge_1, round(2.0 * m2 / greatest(h + r - 2, 1), 6) AS rouge_2 FROM t")
 
 # Two-sided p of z by a rational approximation of erfc (fixed values, absolute error below 1.5e-7).
 _U = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)))"
