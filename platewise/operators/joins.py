@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.text import jaccard, tokens
@@ -39,3 +39,24 @@ def levenshtein_pairs(names: DataFrame, column: str, k: int) -> DataFrame:
     probe = names.withColumn("n", F.explode(F.sequence(F.greatest(F.col("size") - k, F.lit(0)), "size"))).select(F.col("w").alias("y"), "n", F.expr(f"inline({other})"))
     met = short.join(probe, ["n", "i", "g"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return met.select("a", "b", F.levenshtein("a", "b").alias("d")).where(F.col("d") <= k)
+
+
+#: Pairs of items up to which their table is broadcast.
+PAIRS = 200_000
+
+
+def two_hop(likes: DataFrame, holds: DataFrame, most: int) -> DataFrame:
+    """Of each user (likes: u, i) the `most` best items (u, i, s) that lead from the user's own ones over a common holder
+    (holds: t, i) and are not the user's: s sums, over own items and holders, the product of how often a holder has each.
+
+    Weights are added up by pair of items before any user meets them, and all of a user's items stay where the user is."""
+    c = holds.groupBy("t", "i").agg(F.count("*").alias("c"))
+    other = c.select("t", F.col("i").alias("to"), F.col("c").alias("d"))
+    pairs = c.join(other, "t").where("i <> to").groupBy("i", "to").agg(F.sum(F.col("c") * F.col("d")).alias("w"))
+    if pairs.count() <= PAIRS:
+        pairs = F.broadcast(pairs)
+    own = likes.groupBy("u").agg(F.collect_set("i").alias("own"))
+    met = own.select("u", "own", F.explode("own").alias("i")).join(pairs, "i").where(F.col("u").isNull() | ~F.array_contains("own", F.col("to")))
+    best = Window.partitionBy("u").orderBy(F.col("s").desc(), "i")
+    found = met.groupBy("u", F.col("to").alias("i")).agg(F.sum("w").alias("s")).withColumn("r", F.row_number().over(best))
+    return found.where(F.col("r") <= most).select("u", "i", "s")
