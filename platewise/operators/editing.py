@@ -32,6 +32,8 @@ KINDS = [
     ("saturated_fat_g", ["butter", "cheese"], "butter", 15.0, 2.5, 3.5, True, 1.2),
     ("sugars_g", SUGAR, "honey", 20.0, 2.0, 3.0, True, 1.5),
 ]
+# fixed values, in the order of KINDS: the nutrient's place, energy of a gram if the measure is a share of energy, whether it is all servings'
+MEASURES = [(5, None, True), (1, 4.0, False), (2, 9.0, False), (3, 4.0, False), (0, None, False), (4, None, True), (6, 9.0, False), (7, 4.0, False)]
 # fixed values: field, words, reason; then the least factor and how much of the excess goes, or the range of a drawn factor
 FIXES = [
     ("sodium_mg", ["salt"], "reduce_sodium_to_meet_limit", 0.3, 1.2, None),
@@ -47,6 +49,7 @@ LIMITS = {"sodium_mg": 2300.0, "protein_amdr": 20.0, "fat_amdr": 30.0, "carb_amd
 TOGETHER, GREENS = ["sodium_mg", "energy_kcal", "fat_amdr"], ["broccoli", "spinach", "kale"]
 
 MOST = 10_000
+LINES = "array<struct<item:string,grams:double,n:array<double>>>"
 VIOLATION = "struct<type:string,field:string,item:string,actual:double,limit:double,severity:string>"
 
 
@@ -84,20 +87,22 @@ def nutrition(lines: Column, servings: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(len(NUTRIENTS) - 1)), lambda i: F.aggregate(lines, F.lit(0.0), lambda s, x: s + of(x, i)) / float(servings))
 
 
-def measures(per_serving: Column, servings: float) -> Column:
-    """What the violations of KINDS are told by, in their order: totals, percentages of energy (null without energy), energy of a serving."""
-    n = {name: F.get(per_serving, F.lit(i)) for i, name in enumerate(NUTRIENTS)}
-    share = lambda name, kcal: F.when(n["energy_kcal"] > 0, n[name] * kcal / n["energy_kcal"] * 100)
-    return F.array(n["sodium_mg"] * float(servings), share("protein_g", 4.0), share("fat_g", 9.0), share("carbohydrate_g", 4.0), n["energy_kcal"], n["fiber_g"] * float(servings), share("saturated_fat_g", 9.0), share("sugars_g", 4.0))
+def measure(lines: Column, kind: Column, servings: float) -> Column:
+    """What the violation of a kind (one of KINDS with its MEASURES) is told by: a total, a percentage of energy (null without
+    energy), or energy of a serving. Only the nutrients it takes are summed."""
+    of = lambda x, i: F.coalesce(x["grams"] * F.get(x["n"], i) / 100, F.lit(0.0))
+    serving = lambda i: F.aggregate(lines, F.lit(0.0), lambda s, x: s + of(x, i)) / float(servings)
+    share = let(serving(F.lit(0)), lambda energy: F.when(energy > 0, serving(kind["n"]) * kind["kcal"] / energy * 100))
+    return F.when(kind["kcal"].isNotNull(), share).when(kind["whole"], serving(kind["n"]) * float(servings)).otherwise(serving(kind["n"]))
 
 
 def first_named(lines: Column, words: Column) -> Column:
     """The place, from 1, of the first line whose item holds one of the words; 0 without any."""
-    return F.array_position(F.transform(lines, lambda x: F.coalesce(F.exists(words, lambda w: F.lower(x["item"]).contains(w)), F.lit(False))), True)
+    return F.array_position(F.transform(lines, lambda x: let(F.lower(x["item"]), lambda low: F.coalesce(F.exists(words, lambda w: low.contains(w)), F.lit(False)))), True)
 
 
 def _structs(names: str, rows: Sequence[Sequence]) -> Column:
-    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v).cast("double") if v is None else F.lit(v)
     return F.array(*[F.struct(*[value(v).alias(n) for n, v in zip(names.split(), (i, *row), strict=True)]) for i, row in enumerate(rows)])
 
 
@@ -107,31 +112,49 @@ def limits_of(limits: Mapping[str, Column], servings: float) -> Column:
     return F.array(*[v / float(servings) if f == "energy_kcal" else v for f, v in zip(LIMITS, each, strict=True)])
 
 
+EDIT = "struct<field:string,violated:boolean,actual:double,limit:double,severity:string,lines:array<struct<item:string,grams:double,n:array<double>>>>"
+
+
+def attempt(lines: Column, key: Column, k: Column, limits: Column, foods: Column, servings: float) -> Column:
+    """The edit (EDIT) of a kind; its lines are those given if it does not violate."""
+    factor = k["low"] + (k["high"] - k["low"]) * uniform(key, "factor", k["field"])
+    limit = F.get(limits, k["i"])
+
+    def told(new: Column) -> Column:
+        def result(actual: Column) -> Column:
+            violated = F.coalesce(F.when(k["raised"], actual > limit * k["edge"]).otherwise(actual < limit * k["edge"]), F.lit(False))
+            severity = F.when((k["field"] == "sodium_mg") & (actual > limit * 1.5), "critical").otherwise("major")
+            told = {"field": k["field"], "violated": violated, "actual": actual, "limit": limit, "severity": severity, "lines": F.when(violated, new).otherwise(lines)}
+            return F.struct(*[c.alias(n) for n, c in told.items()]).cast(EDIT)
+
+        return let(measure(new, k, servings), result)
+
+    def changed(at: Column) -> Column:
+        more = F.concat(lines, F.array(line(k["item"], k["grams"] * factor, F.try_element_at(foods, k["item"]))))
+        return let(factor, lambda f: F.when(at > 0, F.transform(lines, lambda x, i: F.when(i == at - 1, line(x["item"], x["grams"] * f, x["n"])).otherwise(x))).otherwise(more))
+
+    return let(let(first_named(lines, k["words"]), changed), told)
+
+
 def attempts(lines: Column, key: Column, limits: Column, foods: Column, servings: float) -> Column:
-    """Each kind's edit: draw (its place among the tries), field, violated, actual, limit, severity, lines (edited, if it violates)."""
+    """Each kind's edit with its draw (its place among the tries) before it."""
+    return F.transform(all_kinds(), lambda k: let(attempt(lines, key, k, limits, foods, servings), lambda e: F.struct(uniform(key, "order", k["field"]).alias("draw"), *[e[n].alias(n) for n in ("field", "violated", "actual", "limit", "severity", "lines")])))
 
-    def tried(k: Column) -> Column:
-        factor = k["low"] + (k["high"] - k["low"]) * uniform(key, "factor", k["field"])
-        limit = F.get(limits, k["i"])
 
-        def told(new: Column) -> Column:
-            def result(actual: Column) -> Column:
-                violated = F.coalesce(F.when(k["raised"], actual > limit * k["edge"]).otherwise(actual < limit * k["edge"]), F.lit(False))
-                severity = F.when((k["field"] == "sodium_mg") & (actual > limit * 1.5), "critical").otherwise("major")
-                return F.struct(
-                    uniform(key, "order", k["field"]).alias("draw"), k["field"].alias("field"), violated.alias("violated"), actual.alias("actual"),
-                    limit.alias("limit"), severity.alias("severity"), F.when(violated, new).otherwise(lines).alias("lines"),
-                )
+def violating(edit: Column) -> Column:
+    """The edit if it violates, else null."""
+    return let(edit, lambda e: F.when(e["violated"], e))
 
-            return let(let(nutrition(new, servings), lambda p: F.get(measures(p, servings), k["i"])), result)
 
-        def changed(at: Column) -> Column:
-            more = F.concat(lines, F.array(line(k["item"], k["grams"] * factor, F.try_element_at(foods, k["item"]))))
-            return F.when(at > 0, F.transform(lines, lambda x, i: F.when(i == at - 1, line(x["item"], x["grams"] * factor, x["n"])).otherwise(x))).otherwise(more)
+def all_kinds() -> Column:
+    return _structs("i field words item grams low high raised edge n kcal whole", [(*a, *b) for a, b in zip(KINDS, MEASURES, strict=True)])
 
-        return let(let(first_named(lines, k["words"]), changed), told)
 
-    return F.transform(_structs("i field words item grams low high raised edge", KINDS), tried)
+def first_edit(lines: Column, key: Column, kinds: Column, limits: Column, foods: Column, servings: float) -> Column:
+    """The edit of the first kind in drawn order that violates; none after it is tried. Null if none does."""
+    order = F.array_sort(F.transform(kinds, lambda k: F.struct(uniform(key, "order", k["field"]).alias("draw"), k["field"].alias("field"), k["i"].alias("i"))))
+    tried = lambda x: let(F.get(kinds, x["i"]), lambda k: violating(attempt(lines, key, k, limits, foods, servings)))
+    return F.aggregate(order, F.lit(None).cast(EDIT), lambda found, x: F.when(found.isNotNull(), found).otherwise(tried(x)))
 
 
 def violation(kind: str, field: Column, item: Column, actual: Column, limit: Column, severity: Column) -> Column:
@@ -170,20 +193,26 @@ def violated(recipes: DataFrame, key: str, lines: str, liked: str, disliked: str
 
     60 % get one of KINDS, tried in drawn order until one violates; 25 % one against preference; the others one of
     TOGETHER and one against preference. Recipes where none comes about are left out, as are those without lines."""
-    known, k = food_map(foods), F.col(key)
-    draw, own = uniform(k, "task"), F.col(lines)
-    tries = recipes.where(F.size(own) > 0).withColumn("_tries", attempts(own, k, limits_of(limits, servings), known, servings))
+    known, k, own = food_map(foods), F.col(key), F.col(lines)
+    kinds = all_kinds()
+    bounds = limits_of(limits, servings)
     field = F.get(F.array(*map(F.lit, TOGETHER)), F.floor(uniform(k, "together") * len(TOGETHER)).cast("int"))
-    single = F.array_min(F.filter("_tries", lambda t: t["violated"]))
-    mixed = F.get(F.filter("_tries", lambda t: t["violated"] & (t["field"] == field)), F.lit(0))
-    tried = tries.withColumn("_task", draw).withColumn("_first", F.when(F.col("_task") < 0.6, single).when(F.col("_task") >= 0.85, mixed)).drop("_tries")
-    base = F.coalesce(F.col("_first.lines"), own)
-    plain = F.struct(base.alias("lines"), F.lit(None).cast(VIOLATION).alias("violation"))
-    second = F.when(F.col("_task") < 0.6, plain).otherwise(against_preference(base, k, F.col(liked), F.col(disliked), known))
-    t = F.col("_first")
-    first = F.when(t.isNotNull(), violation("nutrition_violation", t["field"], F.lit(None), t["actual"], t["limit"], t["severity"]))
-    done = tried.withColumn("_second", second).withColumn("violations", F.array_compact(F.array(first, F.col("_second.violation")))).withColumn(lines, F.col("_second.lines"))
-    return done.where(F.size("violations") > 0).drop("_task", "_first", "_second")
+    mixed = let(F.get(F.filter(kinds, lambda x: x["field"] == field), F.lit(0)), lambda x: violating(attempt(own, k, x, bounds, known, servings)))
+
+    def drawn(task: Column) -> Column:
+        def edited(t: Column) -> Column:
+            base = F.coalesce(t["lines"], own.cast(LINES))
+            plain = F.struct(base.alias("lines"), F.lit(None).cast(VIOLATION).alias("violation"))
+            second = F.when(task < 0.6, plain).otherwise(against_preference(base, k, F.col(liked), F.col(disliked), known))
+            first = F.when(t.isNotNull(), violation("nutrition_violation", t["field"], F.lit(None), t["actual"], t["limit"], t["severity"]))
+            return let(second, lambda s: F.struct(s["lines"].alias("lines"), F.array_compact(F.array(first, s["violation"])).alias("violations")))
+
+        return let(F.when(task < 0.6, first_edit(own, k, kinds, bounds, known, servings)).when(task >= 0.85, mixed), edited)
+
+    # a generator, for a filter on violations would go down to the columns they come from and compute all of it again
+    done = F.filter(F.transform(F.array(uniform(k, "task")), drawn), lambda x: F.size(x["violations"]) > 0)
+    out = recipes.select("*", F.explode(F.when(F.size(own) > 0, done)).alias("_done"))
+    return out.select(*[F.col("_done.lines").alias(c) if c == lines else F.col(c) for c in recipes.columns], "_done.violations")
 
 
 def corrections(lines: Column, violations: Column, key: Column, foods: Mapping[str, Sequence[float]]) -> Column:

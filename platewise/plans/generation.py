@@ -28,15 +28,17 @@ def recipes(spark, sf_dir):
     """o_orderkey, lines, liked, disliked: a line's food is told by its part's key, its grams by the quantity (salt a hundredth)."""
     names = F.array(*map(F.lit, FOODS))
     name = lambda c: F.get(names, (c % len(FOODS)).cast("int"))
-    item = name(F.col("l_partkey"))
-    grams = F.when(item == "salt", F.col("l_quantity") / 10).otherwise(F.col("l_quantity") * 10)
-    line = editing.line(item, grams, F.try_element_at(editing.food_map(FOODS), item))
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("lines"))
-    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("lines", lambda x: x["line"]).alias("lines"))
+
+    def line(x):
+        grams = lambda item: F.when(item == "salt", x["l_quantity"] / 10).otherwise(x["l_quantity"] * 10)
+        return editing.let(name(x["l_partkey"]), lambda item: editing.line(item, grams(item), F.try_element_at(editing.food_map(FOODS), item)))
+
+    # what is dealt out are numbers; a line's name and nutrients are put in after the join
+    parts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("parts"))
     user = F.col("o_custkey")
     some = lambda share, *keys: F.when(user % share != 0, F.array(*map(name, keys))).otherwise(F.array().cast("array<string>"))
     own = read(spark, sf_dir, "orders").select("o_orderkey", some(5, user, user + 3).alias("liked"), some(4, user + 1, user + 6).alias("disliked"))
-    return lines.join(own, "o_orderkey")
+    return parts.join(own, "o_orderkey").select("o_orderkey", F.transform("parts", line).alias("lines"), "liked", "disliked")
 
 
 def _told(c):

@@ -179,3 +179,11 @@ def test_self_bleu(spark):
     assert got == {i: pytest.approx(bleu(w, words[:i] + words[i + 1 :])) for i, w in enumerate(words)}
     assert [tuple(r) for r in diversity.self_bleu(df.where("id = 0"), "id", "t").collect()] == [(0, 0.0)]
     assert diversity.self_bleu(df.where("id < 0"), "id", "t").count() == 0
+
+
+def test_edits_are_made_once(spark):
+    """A filter on violations would go down and compute the edits again; a generator is not passed."""
+    from platewise.plans import generation
+
+    plan = generation.edited_recipes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 12 and plan.count("Generate explode") == 1
