@@ -1,7 +1,9 @@
 """Similarity join by a blocked sparse matrix product of documents by word shingles.
 
-Documents with equal sets form a class and go on as one. Shingles are ordered from rare to frequent (the most frequent
-ones, a bounded table, by their counts; ties and the rest by hash: any one order gives right results). If two sets
+Documents with equal sets form a class and go on as one; sets too small to link with another are left out. Shingles are
+ordered from rare to frequent (the most frequent ones, a bounded table, by their counts; of the low hashes, which come
+first among the rest, those that more than WIDE / 2 documents have stand behind, by a bounded filter of exact counts;
+ties and the rest by hash: any one order gives right results). If two sets
 share the required overlap t = ceil(0.9 n), their first n - t + k shingles share k. So only these few entries are
 multiplied: entries of one shingle meet, size bounds discard pairs, counts accumulate, and pairs with less than k go.
 A shingle with more than WIDE entries links them in a chain by size instead: any two of fitting sizes are joined by the
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import components, count_floor, id_filter, passes, saved
+from platewise.llm.common import components, count_floor, discarded, id_filter, passes, saved
 
 FREQUENT, WIDE, PART, SHARED, PIVOTS = 1 << 18, 64, 512, 4, 8
+#: Low hashes are dealt out by their next LANES bits; CELL bits more tell them apart when they are counted.
+LANES, CELL = 10, 32
 U = np.uint64
 
 
@@ -55,47 +59,79 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most `most` shingles that many documents have (ascending), and their counts; single ones per MB are left out."""
+def low_bits(percent: int) -> int:
+    """Leading zero bits of the low hashes: they are at least twice the share of a set that its prefix is."""
+    return max(0, int(-math.log2(min(1, max(1e-3, 2 * (1 - percent / 100))))))
+
+
+def places(h: np.ndarray, low: int) -> np.ndarray:
+    """Low hashes as they are counted, mixed for the filter."""
+    return (h >> U(64 - low - LANES - CELL)) * U(0x9E3779B97F4A7C15)
+
+
+def frequent(docs: DataFrame, words: int, percent: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most `most` shingles that many documents have (ascending), their counts (single ones per MB are left out), and
+    a filter of all low hashes that more than WIDE / 2 documents have.
+
+    The low hashes go to their lane's task as 32-bit integers, many in one row, and are counted there, none left out."""
+    low = low_bits(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, kept = [], 0, []
 
-        def settle() -> None:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            kept.append((h[c > 1], c[c > 1]))
+        def settle() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            c = np.diff(np.append(at, len(h)))
+            kept.append((h[at[c > 1]], c[c > 1]))
+            h = h[: np.searchsorted(h, U(1 << (64 - low)))] if low else h
+            cells = h >> U(64 - low - LANES - CELL)
+            lanes, first = np.unique(cells >> U(CELL), return_index=True)
+            cells = [x.astype(np.uint32).tobytes() for x in np.split(cells, first[1:])] if len(h) else []
+            return pa.RecordBatch.from_pydict({"h": pa.nulls(len(lanes), pa.int64()), "n": pa.nulls(len(lanes), pa.int64()), "lane": pa.array(lanes.astype(np.int32)), "cells": pa.array(cells, pa.binary())})
 
         for batch in batches:
             for x in batch.column(0):
                 held.append(s := shingles(x.as_py(), words))
                 n += len(s)
                 if n > 4_000_000:
-                    settle()
+                    yield settle()
                     held, n = [], 0
         if held:
-            settle()
+            yield settle()
         if kept:
             h, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
             c = np.bincount(at, np.concatenate([c for _, c in kept]), len(h)).astype(np.int64)
             for i in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[i : i + 100_000].view(np.int64)), "n": pa.array(c[i : i + 100_000])})
-
-    counts = saved(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "frequent")
+                k = len(part := h[i : i + 100_000])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(part.view(np.int64)), "n": pa.array(c[i : i + 100_000]), "lane": pa.nulls(k, pa.int32()), "cells": pa.nulls(k, pa.binary())})
+
+    def counted(lane: pa.Table) -> pa.Table:
+        cells = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in lane["cells"]]))
+        at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        often = cells[at[np.diff(np.append(at, len(cells))) > WIDE // 2]].astype(U)
+        return pa.table({"h": ((U(lane["lane"][0].as_py()) << U(CELL) | often) * U(0x9E3779B97F4A7C15)).view(np.int64)})
+
+    met = saved(docs.select("text").mapInArrow(run, "h long, n long, lane int, cells binary"), "met")
+    often = saved(met.where("lane IS NOT NULL").select("lane", "cells").groupBy("lane").applyInArrow(counted, "h long"), "low")
+    counts = saved(met.where("lane IS NULL").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "frequent")
+    discarded(met)
     floor = count_floor(counts, "n", most, 3)
     top = counts.where(F.col("n") >= floor).toArrow()
     h, c = top["h"].to_numpy().astype(np.int64).view(U), top["n"].to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
+    return h[order], c[order], id_filter(often)
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row: doc_id, row (hash of the text), n, a 128-bit digest of the set (k1, k2), prefix (hashes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, percent))
+    low = low_bits(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        often, counts = shared.value
+        often, counts, wide = shared.value
         for batch in batches:
             for k in range(0, len(batch), 1024):
                 part = batch.slice(k, 1024)
@@ -108,6 +144,8 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                         df = np.where(often[at] == s, counts[at], 1)
+                    k_low = int(np.searchsorted(s, U(1 << (64 - low)))) if low else len(s)
+                    df[:k_low] = np.where(passes(wide, places(s[:k_low], low)), np.maximum(df[:k_low], WIDE), df[:k_low])
                     t = int(needed(np.array(len(s)), percent))
                     prefixes.append(s[np.lexsort((s, df))[: len(s) - t + min(SHARED, t)]].view(np.int64))
                 keys = np.array(keys).reshape(-1, 2)
@@ -116,6 +154,12 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, row long, n long, k1 long, k2 long, prefix array<long>")
 
 
+def entries_of(classes: DataFrame, percent: int, name: str = "k1") -> DataFrame:
+    """Entries (token, doc, n) of the prefixes. A set of n links with another only if one of n + 1 that holds it would do."""
+    able = classes.where(F.col("n") * 100 >= percent * (F.col("n") + 1))
+    return able.select(F.explode("prefix").alias("token"), F.col(name).alias("doc"), "n")
+
+
 def pairs_of(token: np.ndarray, doc: np.ndarray, n: np.ndarray, chained: bool, percent: int):
     """Pairs (a, b, weight) of whole groups of equal tokens, sorted by (token, n, doc). chained: chains only."""
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -310,8 +354,7 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = saved(signatures(docs, words, percent), "signatures")
     classes = saved(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    entries = classes.select(F.explode("prefix").alias("token"), F.col("k1").alias("doc"), "n")
-    blocks = saved(components(candidates(entries, percent), "blocks"), "blocks")
+    blocks = saved(components(candidates(entries_of(classes, percent), percent), "blocks"), "blocks")
     linked = components(links(docs, classes, blocks, words, percent), "links")
     named = saved(classes.select(F.col("k1").alias("id"), "rep").join(linked, "id"), "named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

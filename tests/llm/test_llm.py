@@ -203,6 +203,20 @@ def test_jaccard_wide_blocks(spark, monkeypatch):
         assert sorted((tuple(r)[:3] for r in jaccard.joined(frame).collect()), key=repr) == expected
 
 
+def test_jaccard_common_passage_over_many_tasks(spark):
+    """A passage that each task meets once joins no unlike documents; a near copy stays a candidate, tiny sets are none."""
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'w{x}' for x in rng.integers(0, 10**9, 200))} {passage}") for i in range(80)]
+    rows += [(80, f"{rows[0][1]} end"), (81, "a b c d"), (82, "a b c d e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    assert {r[2] for r in jaccard.joined(frame).collect() if r[0] in (0, 80)} == {0}
+    found = jaccard.signatures(frame, 3, 90).localCheckpoint()
+    entries = jaccard.entries_of(found, 90, "doc_id")
+    assert {tuple(r) for r in jaccard.candidates(entries, 90).collect()} == {(0, 80)}
+    assert entries.where("doc > 80").isEmpty()
+
+
 def test_jaccard_ids_that_repeat(spark):
     a, b = said(50, 40), said(51, 40)
     rows = [(1, f"{a} x"), (2, f"{b} x"), (5, a), (5, b), (None, a), (9, None), (9, ""), (5, a)]
