@@ -214,7 +214,8 @@ def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DI
     counts = saved(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     floor = count_floor(counts, "n", most, 2)
     fold = Fold(docs.sparkSession, ranks)
-    frequent = counts.where(F.col("n") >= floor).repartition(96, "word").select("word", fold(F.col("word")).alias("ids"))
+    # each task reads the rank map of 7 MB anew, so tasks are few
+    frequent = counts.where(F.col("n") >= floor).repartition(24).select("word", fold(F.col("word")).alias("ids"))
     found = frequent.toArrow()  # `most` rows at most
     return {w: np.array(ids, "<u4").tobytes() for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
 
