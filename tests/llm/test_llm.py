@@ -209,7 +209,7 @@ def test_jaccard_common_passage_over_many_tasks(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{' '.join(f'w{x}' for x in rng.integers(0, 10**9, 200))} {passage}") for i in range(80)]
     rows += [(80, f"{rows[0][1]} end"), (81, "a b c d"), (82, "a b c d e")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
     assert {r[2] for r in jaccard.joined(frame).collect() if r[0] in (0, 80)} == {0}
     found = jaccard.signatures(frame, 3, 90).localCheckpoint()
     entries = jaccard.entries_of(found, 90, "doc_id")
