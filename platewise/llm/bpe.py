@@ -6,6 +6,9 @@ row-displaced table). Their ids form a bounded dictionary. The documents look wo
 are folded in the task that meets them, by the same merges and the same rank map, many words at a time. Documents are
 never shuffled. Decoding concatenates the ids' binary pieces.
 
+A task works on some MB of texts at once: pieces and words are told apart as Arrow dictionaries, so each distinct piece
+is cut into words once, each distinct word is folded once, and ids and bytes of texts are gathered by place.
+
 Null text counts as empty and has no ids. Repeated rows each get a row. Other columns of the input are kept.
 """
 
@@ -14,11 +17,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import Counter
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -30,6 +34,27 @@ NONE = 2_147_483_647
 DICTIONARY = 1 << 16
 #: Bytes of a word from which it is folded with a heap instead of in a matrix.
 LONG = 128
+#: Texts that cannot be cut before single spaces and line feeds: other white space, runs of it or some at an end; empty
+#: texts; NUL and SOH, which mark pieces.
+ODD = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and data of an array of strings or bytes."""
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    _, at, data = values.buffers()
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """data cut at offsets (in bytes)."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ends(counts: np.ndarray) -> np.ndarray:
+    """0 and the running totals of counts."""
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 class Ranks:
@@ -46,9 +71,10 @@ class Ranks:
                 if a is not None and b is not None:
                     pairs.setdefault(a, []).append((b, rank))
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pieces = [b""] * self.size
+        pieces = [b""] * self.size
         for token, rank in ranks.items():
-            self.pieces[rank] = token
+            pieces[rank] = token
+        self.pieces = pa.array(pieces, pa.large_binary())
         # rows of (b, rank) laid over one array, each shifted by base[a] to where its places are free
         self.owner, self.value, self.base = np.full(16 * self.size, -1, np.int32), np.zeros(16 * self.size, np.int32), np.full(self.size, -self.size, np.int32)
         rng, free = np.random.default_rng(0), 0
@@ -69,55 +95,55 @@ class Ranks:
         place = np.where(inside, place, 0)
         return np.where(inside & (self.owner[place] == a), self.value[place], NONE)
 
-    def joined(self, ids: bytes | None) -> bytes:
-        """The bytes that ids (little-endian unsigned 32-bit integers) stand for."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-
-    def fold_many(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of distinct words, as little-endian unsigned 32-bit integers."""
-        out: dict[bytes, bytes] = {}
-        by_length: dict[int, list[bytes]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for n, group in by_length.items():
-            if n > LONG:
-                out.update((w, self._fold_long(w)) for w in group)
-                continue
-            for k in range(0, len(group), step := max(1, 1_000_000 // max(1, n * n))):
+    def joined(self, ids: pa.Array) -> pa.Array:
+        """The bytes that each row's ids (little-endian unsigned 32-bit integers) stand for."""
+        offsets, data = parts(pc.fill_null(ids, b""))
+        at, out = parts(self.pieces.take(pa.array(data[offsets[0] : offsets[-1]].view("<u4"))))
+        return binaries(out, at[(offsets - offsets[0]) // 4])
+
+    def fold_many(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        offsets, data = parts(words)
+        sizes = np.diff(offsets)
+        order, counts, ids, first = np.argsort(sizes, kind="stable"), np.zeros(len(words), np.int64), [np.zeros(0, "<u4")], 0
+        for n, m in zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True):
+            group, first = order[first : first + m], first + m
+            step = max(1, 1_000_000 // max(1, n * n)) if n <= LONG else 1
+            for k in range(0, m, step):
                 part = group[k : k + step]
-                out.update(zip(part, self._fold_matrix(part, n), strict=True))
-        return out
-
-    def _fold_matrix(self, part: list[bytes], n: int) -> list[bytes]:
-        ids = self.bytes[np.frombuffer(b"".join(part), np.uint8).reshape(-1, n)] if n else np.zeros((len(part), 0), np.int32)
-        done: list[bytes] = [b""] * len(part)
-        rows = np.arange(len(part))
-        ranks = self.merged(ids[:, :-1], ids[:, 1:]) if n > 1 else None
-        while ids.shape[1] > 1:
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(rows)), at]
-            over = best == NONE
-            for i in np.flatnonzero(over):
-                done[rows[i]] = ids[i].astype("<u4").tobytes()
-            if over.any():
+                raw = self.bytes[data[offsets[part][:, None] + np.arange(n)]]
+                flat, counts[part] = self._fold_matrix(raw) if n <= LONG else self._fold_long(raw[0])
+                ids.append(flat)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return binaries(np.concatenate(ids).astype("<u4"), 4 * ends(counts[order])).take(pa.array(back))
+
+    def _fold_matrix(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of one length, one after another, and each word's number of ids."""
+        out, counts, rows = ids.copy(), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        ranks = self.merged(ids[:, :-1], ids[:, 1:])
+        while len(ids) and (width := ids.shape[1]) > 1:
+            each, at = np.arange(len(ids)), ranks.argmin(axis=1)
+            best = ranks[each, at]
+            if (over := best == NONE).any():
+                out[rows[over], :width], counts[rows[over]] = ids[over], width
                 rows, ids, ranks, at, best = (x[~over] for x in (rows, ids, ranks, at, best))
-                if not len(rows):
-                    return done
-            each, width = np.arange(len(rows)), ids.shape[1] - 1
+                each = each[: len(rows)]
             ids[each, at] = best
-            order = np.arange(width)[None, :]
-            ids = np.take_along_axis(ids, order + (order > at[:, None]), 1)
-            order = order[:, :-1]
-            ranks = np.take_along_axis(ranks, order + (order >= at[:, None]), 1)
-            for side, has in ((at - 1, at > 0), (at, at < width - 1)):
+            kept = np.ones(ids.shape, bool)
+            kept[each, at + 1] = False
+            ids = ids[kept].reshape(len(rows), width - 1)
+            kept = np.ones(ranks.shape, bool)
+            kept[each, at] = False
+            ranks = ranks[kept].reshape(len(rows), width - 2)
+            for side, has in ((at - 1, at > 0), (at, at < width - 2)):
                 r, c = each[has], side[has]
                 ranks[r, c] = self.merged(ids[r, c], ids[r, c + 1])
-        for i, r in enumerate(rows):
-            done[r] = ids[i].astype("<u4").tobytes()
-        return done
+        out[rows, : ids.shape[1]], counts[rows] = ids, ids.shape[1]
+        return out[np.arange(out.shape[1]) < counts[:, None]], counts
 
-    def _fold_long(self, word: bytes) -> bytes:
-        ids = self.bytes[np.frombuffer(word, np.uint8)].tolist()
+    def _fold_long(self, ids: np.ndarray) -> tuple[np.ndarray, int]:
+        ids = ids.tolist()
         base, owner, value, top = self.base, self.owner, self.value, len(self.owner)
 
         def rank(a: int, b: int) -> int | None:
@@ -139,7 +165,8 @@ class Ranks:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (r := rank(ids[x], ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        out = np.array([x for x in ids if x >= 0], np.int32)
+        return out, len(out)
 
 
 class Fold:
@@ -179,106 +206,125 @@ class Fold:
         return F.when(F.octet_length(word) > 0, folded).otherwise(none)
 
 
-def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DICTIONARY) -> dict[str, bytes]:
-    """At most `most` of the most frequent words, with their ids as little-endian 32-bit integers.
+def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DICTIONARY) -> tuple[pa.Array, pa.Array]:
+    """At most `most` of the most frequent words, and their ids as little-endian 32-bit integers.
 
     A task reports only words that are at least 1 in 4 * most of its own, so what it holds and sends is bounded;
-    which words are in the dictionary has no effect on the ids.
+    which words are in the dictionary has no effect on the ids. Words of odd texts are not counted.
     """
     pattern = ranks.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, chunks, counts, total = regex.compile(pattern).findall, Counter(), Counter(), 0
-
-        def settle() -> None:
-            for piece, c in chunks.items():
-                for w in find(piece.replace("\x00", "\n") if piece[:1] == "\x00" else " " + piece):
-                    counts[w] += c
-            chunks.clear()
-
+        find, words, n, total = regex.compile(pattern).findall, pa.array([], pa.string()), np.zeros(0, np.int64), 0
         for batch in batches:
-            for x in batch.column(0):
-                chunks.update(pieces := pieces_of(x.as_py() or "") or ())
-                total += len(pieces)
-                if len(chunks) > 4 * most:  # lossy counting: what is below the share so far goes
-                    settle()
-                    least = total // (4 * most)
-                    counts = Counter({w: c for w, c in counts.items() if c > least})
-        settle()
-        floor = max(2, total // (4 * most))
-        kept = [(w, c) for w, c in counts.items() if c >= floor]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([c for _, c in kept], pa.int64())})
+            for texts in portions(batch.column(0)):
+                new = Cut(find, texts.filter(pc.invert(odd(texts))))
+                uses = np.bincount(new.units, minlength=len(new.first) - 1)
+                n = np.concatenate([n, np.bincount(new.at, np.repeat(uses, np.diff(new.first)), len(new.words)).astype(np.int64)])
+                total += int(n[len(words) :].sum())
+                both = pa.concat_arrays([words, new.words]).dictionary_encode()
+                words, n = both.dictionary, np.bincount(both.indices.to_numpy(), n, len(both.dictionary)).astype(np.int64)
+                if len(words) > 4 * most:  # lossy counting: what is below the share so far goes
+                    words, n = words.filter(pa.array(keep := n > total // (4 * most))), n[keep]
+            pa.default_memory_pool().release_unused()
+        keep = n >= max(2, total // (4 * most))
+        yield pa.RecordBatch.from_arrays([words.filter(pa.array(keep)), pa.array(n[keep])], ["word", "n"])
 
     counts = saved(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     floor = count_floor(counts, "n", most, 2)
     fold = Fold(docs.sparkSession, ranks)
     # each task reads the rank map of 7 MB anew, so tasks are few
     frequent = counts.where(F.col("n") >= floor).repartition(24).select("word", fold(F.col("word")).alias("ids"))
-    found = frequent.toArrow()  # `most` rows at most
-    return {w: np.array(ids, "<u4").tobytes() for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True)}
+    found = frequent.toArrow().combine_chunks()  # `most` rows at most
+    words, ids = (pa.concat_arrays([pa.array([], kind), *found[name].chunks]) for name, kind in (("word", pa.string()), ("ids", found.schema.field("ids").type)))
+    return words, binaries(ids.flatten().to_numpy().astype("<u4"), 4 * ends(pc.list_value_length(ids).to_numpy()))
+
 
+def odd(texts: pa.Array) -> pa.Array:
+    """Whether words must be found in each text as a whole."""
+    return pc.match_substring_regex(pc.fill_null(texts, ""), ODD)
 
-def pieces_of(text: str) -> list[str] | None:
-    """text cut where no word can span: before single spaces and line feeds (the latter marked by a leading NUL).
 
-    None if it has a run of white space, white space of another kind, or a NUL: then words are found in the whole text.
+class Cut:
+    """Texts as units: distinct pieces, which no word can span, and whole odd texts.
+
+    `units` has the units of each text one after another, those of text k from bounds[k] to bounds[k + 1]; `at` has
+    the words of each unit, as places in the distinct `words`, those of unit k from first[k] to first[k + 1].
     """
-    words, gaps = text.split(), text.count(" ") + text.count("\n")
-    # as many single gaps as lie between words, and nothing else that is white space
-    if len(words) != gaps + 1 or len(text) - gaps != sum(map(len, words)) or "\x00" in text:
-        return None
-    return text.replace("\n", " \x00").split(" ")
+
+    def __init__(self, find: Callable[[str], list[str]], texts: pa.Array):
+        texts, whole = pc.fill_null(texts, ""), odd(texts)
+        # a piece starts with SOH at a text's start, with NUL after a line feed, else after a space
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\x01"), texts.filter(pc.invert(whole)), ""), "\n", " \x00"), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, whole = coded.dictionary, whole.to_numpy(zero_copy_only=False)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
+        found = [pa.array(find((" " + line).replace(" \x01", "\n").replace(" \x00", "\n")) if len(pieces) else [], pa.string())]
+        # a space or line feed stands first in each piece and nowhere else; the one put before a text's start goes
+        offsets, data = parts(found[0])
+        head = data[offsets[:-1]]
+        begin = np.flatnonzero((head == 32) | (head == 10))
+        assert len(begin) == len(pieces)
+        added = begin[pc.starts_with(pieces, "\x01").to_numpy(zero_copy_only=False)]
+        count = np.diff(begin, append=len(head))
+        count[np.searchsorted(begin, added)] -= 1
+        found[0] = found[0].filter(pa.array(np.isin(np.arange(len(head)), added, invert=True)))
+        found += (pa.array(find(x.as_py()), pa.string()) for x in texts.filter(pa.array(whole)))
+        words = pa.concat_arrays(found).dictionary_encode()
+        self.words, self.at = words.dictionary, words.indices.to_numpy()
+        self.first = ends(np.concatenate([count, [len(x) for x in found[1:]]]))
+        n = np.ones(len(texts), np.int64)
+        n[~whole] = pc.list_value_length(split).to_numpy()
+        self.bounds = ends(n)
+        self.units = np.empty(self.bounds[-1], np.int64)
+        plain = np.ones(len(self.units), bool)
+        plain[lone := self.bounds[:-1][whole]] = False
+        self.units[lone], self.units[plain] = len(pieces) + np.arange(len(lone)), coded.indices.to_numpy()
 
 
 class Encoder:
     """Texts to ids, in one task: `known` words by look-up, others folded once and kept while there is room."""
 
-    ROOM = 200_000
+    ROOM = 400_000
 
-    def __init__(self, ranks: Ranks, known: dict[str, bytes]):
+    def __init__(self, ranks: Ranks, known: tuple[pa.Array, pa.Array]):
         import regex
 
         self.find, self.ranks, self.known = regex.compile(ranks.pattern).findall, ranks, known
-        self.pieces: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of a MB of texts, or of one longer text."""
-        cut = [pieces_of(x or "") for x in texts]
-        if len(self.pieces) > self.ROOM:
-            self.pieces = {}
-        seen = self.pieces
-        new = {x: self.find(x.replace("\x00", "\n") if x[:1] == "\x00" else " " + x) for p in cut if p for x in p[1:] if x not in seen}
-        whole = [self.find(x or "") if p is None else self.find(p[0]) for x, p in zip(texts, cut, strict=True)]
-        lacking = list({w for words in (*new.values(), *whole) for w in words if w not in self.known})
-        raw = [w.encode() for w in lacking]
-        folded = self.ranks.fold_many(raw)
-        own = dict(zip(lacking, map(folded.__getitem__, raw), strict=True))
-        ids = lambda words: b"".join([self.known.get(w) or own[w] for w in words])
-        seen.update((x, ids(words)) for x, words in new.items())
-        return [ids(words) + b"".join(map(seen.__getitem__, p[1:])) if p else ids(words) for p, words in zip(cut, whole, strict=True)]
-
-
-def portions(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
-    """texts in lists of about `size` characters; a longer text stands alone."""
-    part, n = [], 0
-    for x in texts:
-        if part and n + len(x or "") > size:
-            yield part
-            part, n = [], 0
-        part.append(x)
-        n += len(x or "")
-    if part:
-        yield part
+        self.words, self.ids = known
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """The ids of some MB of texts, or of one longer text."""
+        cut = Cut(self.find, texts)
+        if len(self.words) > self.ROOM + len(self.known[0]):
+            self.words, self.ids = self.known
+        place = pc.fill_null(pc.index_in(cut.words, self.words), -1).to_numpy().copy()
+        lacking = cut.words.filter(pa.array(new := place < 0))
+        if len(lacking):
+            place[new] = len(self.words) + np.arange(len(lacking))
+            self.words, self.ids = pa.concat_arrays([self.words, lacking]), pa.concat_arrays([self.ids, self.ranks.fold_many(lacking)])
+        at, data = parts(self.ids.take(pa.array(place[cut.at])))
+        at, data = parts(binaries(data, at[cut.first]).take(pa.array(cut.units)))
+        return binaries(data, at[cut.bounds])
+
+
+def portions(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+    """texts in slices of about `size` bytes; a longer text stands alone."""
+    end, k = ends(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+    while k < len(texts):
+        stop = max(k + 1, int(np.searchsorted(end, end[k] + size, "right")) - 1)
+        yield texts.slice(k, stop - k)
+        k = stop
 
 
 def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids", most: int = DICTIONARY) -> DataFrame:
     """docs with the ids (binary: little-endian unsigned 32-bit integers) of each text."""
-    return _encoded(docs, ranks, text, most, docs.columns, [StructField(out, BinaryType())], lambda _, ids: [pa.array(ids, pa.binary())])
+    return _encoded(docs, ranks, text, most, docs.columns, [StructField(out, BinaryType())], lambda _, ids: [ids.cast(pa.binary())])
 
 
-def _encoded(docs: DataFrame, ranks: Ranks, text: str, most: int, kept: list[str], new: list[StructField], made: Callable[[Ranks, list[bytes]], list[pa.Array]]) -> DataFrame:
+def _encoded(docs: DataFrame, ranks: Ranks, text: str, most: int, kept: list[str], new: list[StructField], made: Callable[[Ranks, pa.Array], list[pa.Array]]) -> DataFrame:
     """The first columns of docs, `kept`, with those that `made` gives for the ranks and the ids of some texts."""
     shared = docs.sparkSession.sparkContext.broadcast((vars(ranks), dictionary(docs, ranks, text, most)))
     place, width = docs.columns.index(text), len(kept)
@@ -290,10 +336,11 @@ def _encoded(docs: DataFrame, ranks: Ranks, text: str, most: int, kept: list[str
         vars(ranks).update(state)
         encoder = Encoder(ranks, known)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                ids = [x for texts in portions(part.column(place).to_pylist()) for x in encoder(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made(ranks, ids)], names)
+            k = 0
+            for texts in portions(batch.column(place)):
+                part = batch.slice(k, len(texts))
+                k += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *made(ranks, encoder(texts))], names)
             pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, fields)
@@ -310,8 +357,7 @@ def decode(docs: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "bytes")
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                raw = list(map(ranks.joined, part.column(place).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, ranks.joined(part.column(place)).cast(pa.binary())], [*part.schema.names, out])
 
     return docs.mapInArrow(run, fields)
 
@@ -319,9 +365,12 @@ def decode(docs: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "bytes")
 def digest(docs: DataFrame, ranks: Ranks, most: int = DICTIONARY) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are decoded and hashed in the task that made them."""
 
-    def hashed(ranks: Ranks, ids: list[bytes]) -> list[pa.Array]:
-        sha = [[hashlib.sha256(x).hexdigest() for x in each] for each in (ids, map(ranks.joined, ids))]
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sha)]
+    def sha(values: pa.Array) -> pa.Array:
+        at, data = parts(values)
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in itertools.pairwise(at.tolist())], pa.string())
+
+    def hashed(ranks: Ranks, ids: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.diff(parts(ids)[0]) // 4), sha(ids), sha(ranks.joined(ids))]
 
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     return _encoded(docs.select("doc_id", "text"), ranks, "text", most, ["doc_id"], fields, hashed)

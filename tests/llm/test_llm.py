@@ -57,6 +57,54 @@ def test_bpe(docs, none):
     assert bpe.digest(none, own).collect() == []
 
 
+def test_bpe_cuts_each_piece_and_folds_each_word_once(monkeypatch):
+    """A task does no work twice: 2,000 texts of four pieces, in portions, with punctuation that makes other pieces of known words."""
+    import base64
+
+    import pyarrow as pa
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own, cut, folded = bpe.Ranks(path, P.PATTERN), [], Counter()
+    fold_many = bpe.Ranks.fold_many
+    monkeypatch.setattr(bpe.Ranks, "fold_many", lambda self, ws: folded.update(ws.to_pylist() if isinstance(ws, pa.Array) else [w.decode() for w in ws]) or fold_many(self, ws))
+    coder = bpe.Encoder(own, (pa.array([], pa.string()), pa.array([], pa.large_binary())))
+    find, coder.find = coder.find, lambda text: cut.append(len(text)) or find(text)
+    texts = [f"a{i % 7} the{'.' * (i // 500)} zyx\n{'qv' * (i % 3)}w" for i in range(2000)]
+    got = [x for part in bpe.portions(pa.array(texts), 10_000) for x in coder(part).to_pylist()]
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got == [np.array(plain.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert set(folded.values()) == {1}
+    assert sum(cut) < 100 * len(list(bpe.portions(pa.array(texts), 10_000)))  # some 50 characters of distinct pieces each
+
+
+def test_bpe_pieces_are_cut_only_where_no_word_spans(seed=3):
+    """Texts of every white space, NUL, SOH, runs and ends, in slices, with a cache that is emptied again and again."""
+    import base64
+
+    import pyarrow as pa
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain, own, rng = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Ranks(path, P.PATTERN), np.random.default_rng(seed)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert all(bpe.odd(pa.array([f"a{c}b" for c in spaces if c not in " \n"])).to_pylist())
+    some = [*"abst'1½é日\u0301!.\x00\x01😀", "'ll", "ing", "x" * 150, *spaces]
+    texts = ["".join(rng.choice(some if i % 2 else [*some[:16], " ", "\n"], int(rng.integers(0, 40)))) for i in range(1500)]
+    texts = [None if i % 97 == 0 else " ".join(t.split(" ")).strip() if i % 4 == 0 else t for i, t in enumerate(texts)]
+    words = pa.array([" a", "ing"])
+    coder = bpe.Encoder(own, (words, own.fold_many(words)))
+    coder.ROOM = 200
+    ids = [coder(part) for part in bpe.portions(pa.array(texts, pa.string()).slice(5), 900)]
+    assert [x for part in ids for x in part.to_pylist()] == [np.array(plain.encode_ordinary(t or ""), "<u4").tobytes() for t in texts[5:]]
+    assert [x.decode() for part in ids for x in own.joined(part).to_pylist()] == [t or "" for t in texts[5:]]
+    assert not all(bpe.odd(pa.array(texts)).to_pylist())
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
