@@ -228,7 +228,7 @@ def dictionary(docs: DataFrame, ranks: Ranks, text: str = "text", most: int = DI
                 words, n = both.dictionary, np.bincount(both.indices.to_numpy(), n, len(both.dictionary)).astype(np.int64)
                 if len(words) > 4 * most:  # lossy counting: what is below the share so far goes
                     words, n = words.filter(pa.array(keep := n > total // (4 * most))), n[keep]
-            pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
         keep = n >= max(2, total // (4 * most))
         yield pa.RecordBatch.from_arrays([words.filter(pa.array(keep)), pa.array(n[keep])], ["word", "n"])
 
@@ -287,7 +287,7 @@ class Cut:
 class Encoder:
     """Texts to ids, in one task: `known` words by look-up, others folded once and kept while there is room."""
 
-    ROOM = 400_000
+    ROOM = 150_000
 
     def __init__(self, ranks: Ranks, known: tuple[pa.Array, pa.Array]):
         import regex
@@ -310,7 +310,7 @@ class Encoder:
         return binaries(data, at[cut.bounds])
 
 
-def portions(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+def portions(texts: pa.Array, size: int = 2_000_000) -> Iterator[pa.Array]:
     """texts in slices of about `size` bytes; a longer text stands alone."""
     end, k = ends(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
     while k < len(texts):
@@ -341,7 +341,7 @@ def _encoded(docs: DataFrame, ranks: Ranks, text: str, most: int, kept: list[str
                 part = batch.slice(k, len(texts))
                 k += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *made(ranks, encoder(texts))], names)
-            pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, fields)
 
